@@ -52,20 +52,12 @@ def fill_gaps(
     panel = OrderedPanel(df, spec)
     rows = panel.rows.withColumn(_POS, F.row_number().over(panel.window).cast("long"))
     rows = _with_neighbours(panel, rows, list(limits))
-    filled, flags = {}, {}
-    for c, limit in limits.items():
-        value = _filled(c, limit)
-        filled[c] = value
-        flags[f"{c}_imputed"] = F.col(c).isNull() & value.isNotNull()
-    others = [F.col(c) for c in df.columns if c not in limits and c not in flags]
-    by_name = {c: filled[c].alias(c) for c in limits}
-    out = rows.select(
-        *others,
-        *by_name.values(),
-        *[flags[f].alias(f) for f in flags],
+    filled = {c: _filled(c, limit) for c, limit in limits.items()}
+    flags = {f"{c}_imputed": F.col(c).isNull() & v.isNotNull() for c, v in filled.items()}
+    return rows.select(
+        *[filled[c].alias(c) if c in filled else c for c in df.columns if c not in flags],
+        *[col.alias(name) for name, col in flags.items()],
     )
-    order = [c for c in df.columns if c not in flags]
-    return out.select(*order, *flags)
 
 
 def _with_neighbours(panel: OrderedPanel, rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -128,6 +120,8 @@ def _filled(c: str, limit: FillLimits) -> Column:
     cell = F.when(F.col(c).isNotNull(), F.col(c)).when(
         inside & short & (since <= limit.linear), on_line(since)
     )
+    if limit.whole_gap_only and limit.forward:
+        cell = cell.when(inside & ~short & (since <= limit.forward), prev["value"])
     if limit.forward:
         # Forward fill repeats the last cell that is known by then: the last
         # interpolated one inside a gap, the last observed one after the series.

@@ -43,7 +43,8 @@ def add_growth(df: DataFrame, spec: PanelSpec, level: str, growth: str) -> DataF
         rows = rows.withColumn(
             f"{growth}_imputed", marked | F.coalesce(prev["imputed"], F.lit(False))
         )
-    return panel.finish(rows, "_carry", "_prev")
+    added = [growth, f"{growth}_imputed"] if has_flag else [growth]
+    return panel.finish(rows, [*df.columns, *added])
 
 
 def add_gap(df: DataFrame, rate: str, growth: str, gap: str) -> DataFrame:
@@ -96,7 +97,7 @@ def add_chained_index(
     )
     base: Column = F.when(F.col("_base") != 0, F.col("_base"))
     rows = rows.withColumn(index, F.col("_prefix") * F.col(local) / base * 100)
-    return panel.finish(rows, local, "_prefix", "_base")
+    return panel.finish(rows, [*df.columns, index])
 
 
 def period_change(df: DataFrame, spec: PanelSpec, metric: str, name: str = "change") -> DataFrame:

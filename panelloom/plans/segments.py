@@ -61,10 +61,11 @@ class OrderedPanel:
             per_entity,
         )
         table = df.groupBy(*self.keys).agg(*summaries)
-        # Two selects: a scan may refer to the columns named before it.
+        # One at a time: a scan may refer to the columns named before it.
         for name, col in carried.items():
             table = table.withColumn(name, col)
         return df.join(table.select(*self.keys, *carried), self.keys, "left")
 
-    def finish(self, df: DataFrame, *helpers: str) -> DataFrame:
-        return df.drop(SEGMENT, *helpers)
+    def finish(self, df: DataFrame, columns: Sequence[str]) -> DataFrame:
+        """Drop the helper columns; joins may also have moved the key columns."""
+        return df.select(*dict.fromkeys(columns))
