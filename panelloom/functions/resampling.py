@@ -22,17 +22,17 @@ def _scramble(y: Column) -> Column:
 
 
 def draw_number(seed: int, group: Column, replicate: Column, draw: Column) -> Column:
-    """Pseudo-random integer in [0, MODULUS) for one draw."""
-    g, r, j = (c.cast("long") for c in (group, replicate, draw))
-    # Only differs from the plain sum by keeping every product small.
+    """Pseudo-random integer in [0, MODULUS) for one draw (draw >= 0)."""
+    g, r = group.cast("long"), replicate.cast("long")
+    j = draw.cast("long") % F.lit(MODULUS)
     x = (
         F.lit(seed * SEED_STEP).cast("long")
         + g * GROUP_STEP
         + r * REPLICATE_STEP
-        + (j % F.lit(MODULUS)) * DRAW_STEP
+        + j * DRAW_STEP
     ) % F.lit(MODULUS)
     first = _scramble(x)
-    second = _scramble((first + j % F.lit(MODULUS)) % F.lit(MODULUS))
+    second = _scramble((first + j) % F.lit(MODULUS))
     return _scramble((second + r) % F.lit(MODULUS))
 
 

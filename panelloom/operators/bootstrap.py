@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions.resampling import draw_number, poisson_weight
+from panelloom.plans.broadcasting import if_small
 
 EXACT_ROWS = 4096
 _CHUNKS = 64
@@ -77,7 +78,7 @@ def bootstrap_means(
         F.col(metric).cast("double").alias("x"),
         F.col(order).cast("long").alias("k"),
     )
-    sizes = _sizes(rows, min_n)
+    sizes = if_small(_sizes(rows, min_n), sized_by=rows.select("g").distinct())
     means = _exact_means(rows, sizes, n_boot, seed).unionByName(
         _poisson_means(rows, sizes, n_boot, seed)
     )

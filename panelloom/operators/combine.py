@@ -9,12 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.operators.quality import require_unique
+from panelloom.plans.broadcasting import if_small
 from panelloom.plans.order_stats import as_scalar
 from panelloom.spec import PanelSpec
 
-# A lookup is broadcast only when a count shows it has at most this many rows.
-BROADCAST_ROWS = 100_000
-
 
 def stack(parts: Sequence[DataFrame], allow_missing: bool = False) -> DataFrame:
     """UNION ALL by column name."""
@@ -39,21 +37,14 @@ def merge_measures_by_join(parts: Sequence[DataFrame], key: Sequence[str]) -> Da
     return reduce(lambda a, b: a.join(b, list(key), "full"), parts)
 
 
-def small_side(lookup: DataFrame) -> DataFrame:
-    """Mark a lookup for broadcast when a count shows it is small; otherwise the
-    join stays an ordinary shuffle join."""
-    few = lookup.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return F.broadcast(lookup) if few else lookup
-
-
 def attach_lookup(df: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     """Left join to a lookup; rows without an entry keep NULL attributes."""
-    return df.join(small_side(lookup), key, "left")
+    return df.join(if_small(lookup), key, "left")
 
 
 def keep_listed(df: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     """Semi-join: keep rows whose key occurs in the lookup."""
-    return df.join(small_side(lookup.select(key)), key, "left_semi")
+    return df.join(if_small(lookup.select(key)), key, "left_semi")
 
 
 def attach_context(

@@ -27,6 +27,7 @@ from panelloom.functions.tails import (
 )
 from panelloom.operators.correlation import holm
 from panelloom.operators.describe import group_means, group_medians
+from panelloom.plans.broadcasting import if_small
 from panelloom.plans.order_stats import (
     COUNT,
     VALUE,
@@ -93,8 +94,9 @@ def with_f_p_value(row: DataFrame) -> DataFrame:
 def brown_forsythe(df: DataFrame, metric: str, group: str, min_n: int = 2) -> DataFrame:
     """Levene statistic around the group medians (one row: k, n, statistic)."""
     medians = quantiles(df, [group], metric, {"_median": 0.5}).where(F.col("n") >= min_n)
+    medians = if_small(medians.drop("n"), sized_by=df.select(group).distinct())
     rows = df.where(is_finite(F.col(metric))).select(group, finite(F.col(metric)).alias(metric))
-    spread = rows.join(medians.drop("n"), group).select(
+    spread = rows.join(medians, group).select(
         group, F.abs(F.col(metric) - F.col("_median")).alias("_spread")
     )
     row = _one_way(group_moments(spread, "_spread", group, min_n))
@@ -109,7 +111,7 @@ def kruskal_wallis(df: DataFrame, metric: str, group: str, min_n: int = 2) -> Da
     """
     counts = value_counts(df, [group], metric)
     sizes = counts.groupBy(group).agg(F.sum(COUNT).alias("size")).where(F.col("size") >= min_n)
-    counts = counts.join(sizes, group)
+    counts = counts.join(if_small(sizes, sized_by=df.select(group).distinct()), group)
     pooled = counts.groupBy(VALUE).agg(F.sum(COUNT).alias(COUNT))
     ranks = running_totals(pooled, []).select(
         VALUE,
