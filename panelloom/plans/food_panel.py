@@ -24,7 +24,7 @@ from panelloom.operators.growth import (
     add_growth,
 )
 from panelloom.operators.quality import profile_columns, require_contract
-from panelloom.operators.reshape import in_order, wide_to_category_grid
+from panelloom.operators.reshape import for_display, in_order, wide_to_category_grid
 from panelloom.sources.catalogue import SourceSpec, load_measure, load_with_fallback
 from panelloom.sources.sinks import write_report, write_view
 from panelloom.sources.tables import LOOKUP_SCHEMA, filter_dimensions, read_csv, read_parquet
@@ -35,16 +35,16 @@ SPEC = PanelSpec(first_period=2010, last_period=2024)
 BASE_PERIOD = 2020
 CODES = {"EL": "GR", "UK": "GB"}
 CATEGORY_NAMES = {
-    "CP0111": "Bread and cereals",
-    "CP0112": "Meat",
-    "CP0113": "Fish and seafood",
-    "CP0114": "Milk, cheese and eggs",
-    "CP0115": "Oils and fats",
-    "CP0116": "Fruit",
-    "CP0117": "Vegetables",
-    "CP0118": "Sugar, jam, honey, chocolate and confectionery",
-    "CP0119": "Other food products",
-    "CP012": "Non-alcoholic beverages",
+    "CP0111": "Pieczywo i produkty zbożowe",
+    "CP0112": "Mięso",
+    "CP0113": "Ryby i owoce morza",
+    "CP0114": "Mleko, sery i jaja",
+    "CP0115": "Oleje i tłuszcze",
+    "CP0116": "Owoce",
+    "CP0117": "Warzywa",
+    "CP0118": "Cukier, dżem, miód, czekolada i wyroby cukiernicze",
+    "CP0119": "Pozostałe produkty żywnościowe",
+    "CP012": "Napoje bezalkoholowe",
 }
 
 # Raw tables, their dimension filters and the measures they feed.
@@ -174,6 +174,41 @@ CATEGORY_EXPORT_COLUMNS = [
 ]
 MIN_CATEGORY_ROWS = 1000
 
+# Display labels of exported columns and of groups.
+GROUP_LABELS = {
+    "Northern": "Europa Północna",
+    "Western": "Europa Zachodnia",
+    "Southern": "Europa Południowa",
+    "Eastern": "Europa Wschodnia",
+}
+COLUMN_LABELS = {
+    "country_name": "Kraj",
+    "country_code": "Kod kraju",
+    "iso3": "ISO-3",
+    "region": "Region",
+    "year": "Rok",
+    "food_category_code": "Kod kategorii",
+    "food_category_name": "Kategoria żywności",
+    "iqr_distance": "Odległość poza granicą IQR",
+    "iqr_lower": "Dolna granica IQR",
+    "iqr_upper": "Górna granica IQR",
+    "food_inflation_pct": "Inflacja żywności (HICP CP01)",
+    "headline_inflation_pct": "Inflacja ogólna (HICP CP00)",
+    "food_share_budget_pct": "Udział żywności w wydatkach gospodarstw",
+    "median_income_eur": "Mediana dochodu ekwiwalentnego",
+    "income_growth_pct": "Wzrost mediany dochodu",
+    "minimum_wage_eur_month": "Płaca minimalna",
+    "food_price_level_index": "Poziom cen żywności (UE=100)",
+    "meal_deprivation_pct": "Brak możliwości pełnowartościowego posiłku",
+    "food_affordability_gap_pct": "Luka dostępności żywności",
+    "food_inflation_index_2020": "Skumulowany indeks cen żywności (2020=100)",
+    "food_price_growth_2020_2024_pct": "Skumulowany wzrost cen żywności 2020-2024",
+    "income_growth_2020_2024_pct": "Skumulowany wzrost dochodu 2020-2024",
+    "cumulative_affordability_gap_pct": "Skumulowana luka dostępności 2020-2024",
+    "category_food_inflation_pct": "Inflacja kategorii żywności",
+    "category_affordability_gap_pct": "Luka dostępności kategorii",
+}
+
 Reader = Callable[[str], DataFrame]
 
 
@@ -304,3 +339,7 @@ def country_export(view: DataFrame) -> DataFrame:
 def category_export(view: DataFrame) -> DataFrame:
     rows = view.select(*CATEGORY_EXPORT_COLUMNS)
     return rows.orderBy("year", "food_category_code", "country_name")
+
+
+def with_display_names(export: DataFrame) -> DataFrame:
+    return for_display(export, COLUMN_LABELS, "region", GROUP_LABELS)
