@@ -1,9 +1,13 @@
 """Queries over the driver's tables, one or more per operator, with DuckDB oracles."""
 
 from workloads import (  # noqa: F401  (importing a module registers its queries)
+    aggregates,
     joins,
+    ordering,
     reshaping,
     scans,
+    slices,
+    validation,
     windows,
 )
 from workloads.registry import ORACLES, QUERIES
