@@ -29,6 +29,7 @@ def _partner_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     One scan of each column's values carries a running count per partner, so the
     work grows with the number of columns and not with the number of pairs.
     """
+    rows = df
     for c in cols:
         partners = [p for p in cols if p != c]
         names = {p: f"_with_{i}" for i, p in enumerate(partners)}
@@ -42,8 +43,9 @@ def _partner_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                 for p in partners
             ],
         )
-        df = df.withColumn("_at", F.col(c) + F.lit(0.0)).join(ranks, "_at", "left").drop("_at")
-    return df
+        rows = rows.withColumn("_at", F.col(c) + F.lit(0.0)).join(ranks, "_at", "left")
+        rows = rows.drop("_at")
+    return rows
 
 
 def _pair_cells(cols: Sequence[str], method: str) -> tuple[list[Column], list[tuple[str, str]]]:

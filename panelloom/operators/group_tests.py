@@ -129,9 +129,10 @@ def kruskal_wallis(df: DataFrame, metric: str, group: str, min_n: int = 2) -> Da
         F.coalesce(F.sum("size"), F.lit(0)).alias("n"),
         F.sum(F.pow("rank_sum", 2) / F.col("size")).alias("_squares"),
     ).withColumn("_ties", ties)
-    k, n = F.col("k"), F.col("n").cast("double")
-    raw = F.lit(12.0) / F.when(n > 0, n * (n + 1)) * F.col("_squares") - 3 * (n + 1)
-    correction = 1 - F.col("_ties") / F.when(n > 1, F.pow(n, 3) - n)
+    k, n = F.col("k"), F.col("n")
+    size = n.cast("double")
+    raw = F.lit(12.0) / F.when(n > 0, size * (size + 1)) * F.col("_squares") - 3 * (size + 1)
+    correction = 1 - F.col("_ties") / F.when(n > 1, F.pow(size, 3) - size)
     h = raw / F.when(correction > 0, correction)
     effect = (h - k + 1) / F.when(n > k, n - k)
     return row.select(
@@ -190,65 +191,81 @@ def shapiro_statistic(df: DataFrame, metric: str, group: str, order: str) -> Dat
         .where(F.col("_i") <= SHAPIRO_ROWS)
     )
     in_group = Window.partitionBy(group)
-    by_value = in_group.orderBy("_x")
-    m = F.col("_m")
-    weighted = (
-        sample.withColumn("_i", F.row_number().over(by_value))
-        .withColumn("_size", F.count(F.lit(1)).over(in_group))
-        .withColumn("_m", normal_quantile((F.col("_i") - 0.375) / (F.col("_size") + 0.25)))
-        .withColumn("_mm", F.sum(m * m).over(in_group))
-        .withColumn("_a", _royston_weight(F.col("_i"), F.col("_size"), m, F.col("_mm")))
-        .withColumn("_mean", F.avg("_x").over(in_group))
+    placed = sample.withColumns(
+        {
+            "_i": F.row_number().over(in_group.orderBy("_x")),
+            "_size": F.count(F.lit(1)).over(in_group),
+            "_mean": F.avg("_x").over(in_group),
+        }
     )
-    deviation = F.col("_x") - F.col("_mean")
-    sums = weighted.groupBy(group).agg(
-        F.sum(F.col("_a") * deviation).alias("_ax"),
-        F.sum(deviation * deviation).alias("_ss"),
+    scored = placed.select(
+        group,
+        "_i",
+        "_size",
+        (F.col("_x") - F.col("_mean")).alias("_d"),
+        normal_quantile((F.col("_i") - 0.375) / (F.col("_size") + 0.25)).alias("_m"),
     )
-    n = F.col("n")
-    w = F.when(F.col("_ss") > 0, F.least(F.lit(1.0), F.pow("_ax", 2) / F.col("_ss"))).otherwise(
-        F.when(F.col("_ss").isNotNull(), F.lit(1.0))
+    i, size, d, m = F.col("_i"), F.col("_size"), F.col("_d"), F.col("_m")
+
+    def at(position: Column, c: Column) -> Column:
+        return F.max(F.when(i == position, c))
+
+    sums = scored.groupBy(group).agg(
+        F.max(size).cast("double").alias("s"),
+        F.sum(d * d).alias("ss"),
+        F.sum(m * m).alias("mm"),
+        F.sum(m * d).alias("md"),
+        F.max(m).alias("m1"),
+        at(size - 1, m).alias("m2"),
+        (at(size, d) - at(F.lit(1), d)).alias("range1"),
+        (at(size - 1, d) - at(F.lit(2), d)).alias("range2"),
     )
+    found = _royston_statistic(sums).select(group, "w")
+    n = F.col("n")
     note = (
         F.when(n < 3, "Too few observations")
         .when(n > SHAPIRO_ROWS, f"First {SHAPIRO_ROWS} observations used")
         .otherwise("")
     )
-    return sizes.join(sums, group, "left").select(
-        group, "n", F.when(n >= 3, w).alias("w"), note.alias("note")
+    return sizes.join(found, group, "left").select(
+        group, "n", F.when(n >= 3, F.col("w")).alias("w"), note.alias("note")
     )
 
 
-def _royston_weight(i: Column, n: Column, m: Column, mm: Column) -> Column:
-    """Weight of the i-th order statistic of n."""
-    u = F.lit(1.0) / F.sqrt(n)
+def _royston_statistic(sums: DataFrame) -> DataFrame:
+    """Add ``w`` to one row of sums per group.
+
+    The one or two outermost weights on each side come from polynomials, the
+    others are proportional to the expected normal order statistics.
+    """
+    s, mm, m1, m2 = F.col("s"), F.col("mm"), F.col("m1"), F.col("m2")
 
     def poly(coefficients: Sequence[float]) -> Column:
         total = F.lit(0.0)
         for c in reversed(coefficients):
-            total = total * u + F.lit(c)
+            total = total * F.col("u") + F.lit(c)
         return total
 
-    def expected(position: Column) -> Column:
-        return normal_quantile((position - 0.375) / (n + 0.25))
-
-    outer, inner = expected(n), expected(n - 1)
-    a1 = poly(ROYSTON_A1) + outer / F.sqrt(mm)
-    a2 = poly(ROYSTON_A2) + inner / F.sqrt(mm)
-    big_scale = F.sqrt(
-        (mm - 2 * outer * outer - 2 * inner * inner) / (1 - 2 * a1 * a1 - 2 * a2 * a2)
-    )
-    small_scale = F.sqrt((mm - 2 * outer * outer) / (1 - 2 * a1 * a1))
-    side = F.when(i * 2 > n + 1, F.lit(1.0)).when(i * 2 < n + 1, F.lit(-1.0)).otherwise(0.0)
-    at_end = (i == 1) | (i == n)
-    next_to_end = (i == 2) | (i == n - 1)
-    return (
-        F.when(n == 3, side * F.sqrt(F.lit(0.5)))
-        .when(at_end, side * a1)
-        .when(n <= 5, m / small_scale)
-        .when(next_to_end, side * a2)
-        .otherwise(m / big_scale)
+    rows = sums.withColumns({"u": F.lit(1.0) / F.sqrt(s), "root": F.sqrt(mm)})
+    rows = rows.withColumns(
+        {
+            "a1": F.when(s <= 3, F.sqrt(F.lit(0.5))).otherwise(
+                poly(ROYSTON_A1) + m1 / F.col("root")
+            ),
+            "a2": F.when(s > 5, poly(ROYSTON_A2) + m2 / F.col("root")),
+        }
     )
+    a1, a2 = F.col("a1"), F.col("a2")
+    left = F.when(s > 5, mm - 2 * m1 * m1 - 2 * m2 * m2).otherwise(mm - 2 * m1 * m1)
+    room = F.when(s > 5, 1 - 2 * a1 * a1 - 2 * a2 * a2).otherwise(1 - 2 * a1 * a1)
+    rows = rows.withColumn("scale", F.when((s > 3) & (room > 0), F.sqrt(left / room)))
+    outer = m1 * F.col("range1") + F.coalesce(F.when(s > 5, m2 * F.col("range2")), F.lit(0.0))
+    inner = F.coalesce((F.col("md") - outer) / F.col("scale"), F.lit(0.0))
+    second = F.coalesce(a2 * F.col("range2"), F.lit(0.0))
+    rows = rows.withColumn("ax", inner + a1 * F.col("range1") + second)
+    # No spread at all counts as perfectly normal.
+    w = F.when(F.col("ss") > 0, F.least(F.lit(1.0), F.col("ax") * F.col("ax") / F.col("ss")))
+    return rows.withColumn("w", F.coalesce(w, F.lit(1.0)))
 
 
 def shapiro_by_group(df: DataFrame, metric: str, group: str, order: str) -> DataFrame:

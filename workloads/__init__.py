@@ -2,6 +2,7 @@
 
 from workloads import (  # noqa: F401  (importing a module registers its queries)
     aggregates,
+    inference,
     joins,
     ordering,
     reshaping,
