@@ -35,13 +35,14 @@ def as_number(col: Column) -> Column:
 
 
 def is_finite(col: Column) -> Column:
-    value = col.cast("double")
-    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(INFINITY))
+    """False for NULL, NaN (which Spark orders above infinity) and infinities."""
+    return F.coalesce(F.abs(col.cast("double")) < F.lit(INFINITY), F.lit(False))
 
 
 def finite(col: Column) -> Column:
     """The value as double, NULL unless finite."""
-    return F.when(is_finite(col), col.cast("double"))
+    value = col.cast("double")
+    return F.when(F.abs(value) < F.lit(INFINITY), value)
 
 
 def flag(col: Column) -> Column:

@@ -40,22 +40,25 @@ FAR_DEN = (
 )
 
 
-def _ratio(num: Sequence[float], den: Sequence[float], x: Column) -> Column:
-    def poly(coefficients: Sequence[float]) -> Column:
-        total = F.lit(0.0)
-        for c in reversed(coefficients):
-            total = total * x + F.lit(c)
+def _ratio(num: Sequence[float], den: Sequence[float], x: str) -> str:
+    def poly(coefficients: Sequence[float]) -> str:
+        total = f"{coefficients[-1]!r}D"
+        for c in reversed(coefficients[:-1]):
+            total = f"({total} * {x} + {c!r}D)"
         return total
 
-    return poly(num) / poly(den)
+    return f"{poly(num)} / {poly(den)}"
 
 
-def normal_quantile(p: Column) -> Column:
-    """Inverse of the standard normal distribution for 0 < p < 1."""
-    q = p - 0.5
-    centre = q * _ratio(CENTRE_NUM, CENTRE_DEN, F.lit(0.180625) - q * q)
-    r = F.sqrt(-F.log(F.least(p, 1 - p)))
-    tail = F.when(r <= 5.0, _ratio(MIDDLE_NUM, MIDDLE_DEN, r - 1.6)).otherwise(
-        _ratio(FAR_NUM, FAR_DEN, r - 5.0)
+def normal_quantile(p: str) -> Column:
+    """Inverse of the standard normal distribution; ``p`` is an SQL expression with
+    values between 0 and 1."""
+    q = f"({p} - 0.5D)"
+    r = f"sqrt(-ln(least({p}, 1 - {p})))"
+    centre = f"{q} * {_ratio(CENTRE_NUM, CENTRE_DEN, f'(0.180625D - {q} * {q})')}"
+    middle = _ratio(MIDDLE_NUM, MIDDLE_DEN, f"({r} - 1.6D)")
+    far = _ratio(FAR_NUM, FAR_DEN, f"({r} - 5D)")
+    return F.expr(
+        f"CASE WHEN abs({q}) <= 0.425D THEN {centre} "
+        f"WHEN {r} <= 5D THEN sign({q}) * {middle} ELSE sign({q}) * {far} END"
     )
-    return F.when(F.abs(q) <= 0.425, centre).otherwise(F.when(q < 0, -tail).otherwise(tail))

@@ -1,39 +1,57 @@
 """Counter-based resampling: every draw is a pure function of its position.
 
 Only 64-bit integer arithmetic is used, so a recomputed partition draws the same
-values and any SQL engine can reproduce them.
+values and any SQL engine can reproduce them.  The functions take and return SQL
+text; groups, replicates and draws are numbered from zero or one.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # The modulus is the Mersenne prime 2^31 - 1; squares stay below 2^62.
 MODULUS = 2_147_483_647
 SHIFT = 12_345
 SEED_STEP, GROUP_STEP, REPLICATE_STEP, DRAW_STEP = 1_000_003, 7_919, 104_729, 1_299_709
 
 
-def _scramble(y: Column) -> Column:
-    return (y * y + F.lit(SHIFT)) % F.lit(MODULUS)
+def _start(seed: int, group: str, replicate: str, draw: str) -> str:
+    return (
+        f"({seed * SEED_STEP}L + CAST({group} AS bigint) * {GROUP_STEP} "
+        f"+ CAST({replicate} AS bigint) * {REPLICATE_STEP} + {draw} * {DRAW_STEP}) % {MODULUS}"
+    )
+
+
+def _steps(replicate: str, draw: str) -> list[str]:
+    """Expressions applied one after another to the number ``{y}``."""
+    scramble = f"({{y}} * {{y}} + {SHIFT}) % {MODULUS}"
+    return [
+        scramble,
+        f"({{y}} + {draw}) % {MODULUS}",
+        scramble,
+        f"({{y}} + CAST({replicate} AS bigint)) % {MODULUS}",
+        scramble,
+    ]
+
+
+def draw_number(seed: int, group: str, replicate: str, draw: str) -> str:
+    """Pseudo-random integer in [0, MODULUS) of one draw."""
+    draw = f"(CAST({draw} AS bigint) % {MODULUS})"
+    number = f"({_start(seed, group, replicate, draw)})"
+    for step in _steps(replicate, draw):
+        number = f"({step.format(y=number)})"
+    return number
 
 
-def draw_number(seed: int, group: Column, replicate: Column, draw: Column) -> Column:
-    """Pseudo-random integer in [0, MODULUS) for one draw (draw >= 0)."""
-    g, r = group.cast("long"), replicate.cast("long")
-    j = draw.cast("long") % F.lit(MODULUS)
-    x = (
-        F.lit(seed * SEED_STEP).cast("long")
-        + g * GROUP_STEP
-        + r * REPLICATE_STEP
-        + j * DRAW_STEP
-    ) % F.lit(MODULUS)
-    first = _scramble(x)
-    second = _scramble((first + j) % F.lit(MODULUS))
-    return _scramble((second + r) % F.lit(MODULUS))
+def draw_numbers(seed: int, group: str, replicate: str, size: str) -> str:
+    """Array of the numbers of draws 0 .. size-1, built step by step."""
+    draw = "CAST(j AS bigint)"
+    numbers = f"transform(sequence(0, CAST({size} AS int) - 1), j -> " + (
+        f"{_start(seed, group, replicate, draw)})"
+    )
+    for step in _steps(replicate, draw):
+        numbers = f"transform({numbers}, (y, j) -> {step.format(y='y')})"
+    return numbers
 
 
 def poisson_thresholds(terms: int = 12) -> list[int]:
@@ -45,9 +63,6 @@ def poisson_thresholds(terms: int = 12) -> list[int]:
     return out
 
 
-def poisson_weight(number: Column) -> Column:
+def poisson_weight(number: str) -> str:
     """Poisson(1) count of a uniform draw number."""
-    weight = F.lit(0)
-    for threshold in poisson_thresholds():
-        weight = weight + (number >= threshold).cast("int")
-    return weight
+    return " + ".join(f"IF({number} >= {t}, 1, 0)" for t in poisson_thresholds())

@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelloom.functions.resampling import draw_number, poisson_weight
+from panelloom.functions.resampling import draw_number, draw_numbers, poisson_weight
 from panelloom.plans.broadcasting import if_small
 
-EXACT_ROWS = 4096
+EXACT_ROWS = 1024
 _CHUNKS = 64
 
 
@@ -36,15 +36,9 @@ def _exact_means(rows: DataFrame, sizes: DataFrame, n_boot: int, seed: int) -> D
     first = F.col("c") * chunk
     last = F.least(first + chunk, F.lit(n_boot)) - 1
     replicates = tasks.where(first < n_boot).withColumn("r", F.explode(F.sequence(first, last)))
-    total = F.aggregate(
-        F.sequence(F.lit(0).cast("long"), F.col("n") - 1),
-        F.lit(0.0),
-        lambda acc, j: acc
-        + F.element_at(
-            "xs", (draw_number(seed, F.col("g_no"), F.col("r"), j) % F.col("n") + 1).cast("int")
-        ),
-    )
-    return replicates.select("g", "r", (total / F.col("n")).alias("m"))
+    numbers = draw_numbers(seed, "g_no", "r", "n")
+    mean = f"aggregate({numbers}, 0D, (t, y) -> t + xs[CAST(y % n AS int)]) / n"
+    return replicates.select("g", "r", F.expr(mean).alias("m"))
 
 
 def _poisson_means(rows: DataFrame, sizes: DataFrame, n_boot: int, seed: int) -> DataFrame:
@@ -53,12 +47,10 @@ def _poisson_means(rows: DataFrame, sizes: DataFrame, n_boot: int, seed: int) ->
     marked = rows.join(large, "g").withColumn(
         "r", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))
     )
-    number = draw_number(seed, F.col("g_no"), F.col("r"), F.col("k"))
-    weighted = marked.select("g", "r", "x", poisson_weight(number).alias("w"))
-    sums = weighted.groupBy("g", "r").agg(
-        F.sum(F.col("w") * F.col("x")).alias("wx"), F.sum("w").alias("w")
-    )
-    return sums.select("g", "r", (F.col("wx") / F.when(F.col("w") > 0, F.col("w"))).alias("m"))
+    drawn = marked.withColumn("number", F.expr(draw_number(seed, "g_no", "r", "k")))
+    weighted = drawn.withColumn("w", F.expr(poisson_weight("number")))
+    sums = weighted.groupBy("g", "r").agg(F.sum(F.expr("w * x")).alias("wx"), F.sum("w").alias("w"))
+    return sums.select("g", "r", F.expr("wx / nullif(w, 0)").alias("m"))
 
 
 def bootstrap_means(

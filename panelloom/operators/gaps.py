@@ -64,15 +64,11 @@ def _with_neighbours(panel: OrderedPanel, rows: DataFrame, columns: list[str]) -
     """Add for each column the nearest known cell before and after, with positions."""
 
     def known(c: str) -> Column:
-        return F.when(
-            F.col(c).isNotNull(), F.struct(F.col(_POS).alias("at"), F.col(c).alias("value"))
-        )
+        return F.expr(f"CASE WHEN `{c}` IS NOT NULL THEN struct({_POS} AS at, `{c}` AS value) END")
 
-    def shifted(cell: Column) -> Column:
-        return F.when(
-            cell.isNotNull(),
-            F.struct((cell["at"] + F.col(_OFFSET)).alias("at"), cell["value"].alias("value")),
-        )
+    def shifted(cell: str) -> Column:
+        moved = f"struct({cell}.at + {_OFFSET} AS at, {cell}.value AS value)"
+        return F.expr(f"CASE WHEN {cell} IS NOT NULL THEN {moved} END")
 
     summaries = [F.count(F.lit(1)).alias("_rows")]
     for c in columns:
@@ -82,7 +78,7 @@ def _with_neighbours(panel: OrderedPanel, rows: DataFrame, columns: list[str]) -
     def scan(earlier, later, _all):
         carried = {_OFFSET: F.coalesce(F.sum("_rows").over(earlier), F.lit(0))}
         for c in columns:
-            last, first = shifted(F.col(f"_last_{c}")), shifted(F.col(f"_first_{c}"))
+            last, first = shifted(f"`_last_{c}`"), shifted(f"`_first_{c}`")
             carried[f"_carry_prev_{c}"] = F.last(last, ignorenulls=True).over(earlier)
             carried[f"_carry_next_{c}"] = F.first(first, ignorenulls=True).over(later)
         return carried
@@ -94,43 +90,50 @@ def _with_neighbours(panel: OrderedPanel, rows: DataFrame, columns: list[str]) -
         nothing[f"_carry_prev_{c}"] = F.lit(None).cast(cell)
         nothing[f"_carry_next_{c}"] = F.lit(None).cast(cell)
     rows = panel.with_carries(rows, summaries, scan, nothing)
-    neighbours = {}
+    near = {}
     for c in columns:
-        before = F.last(known(c), ignorenulls=True).over(panel.up_to_row)
-        after = F.first(known(c), ignorenulls=True).over(panel.from_row)
-        neighbours[f"_prev_{c}"] = F.coalesce(shifted(before), F.col(f"_carry_prev_{c}"))
-        neighbours[f"_next_{c}"] = F.coalesce(shifted(after), F.col(f"_carry_next_{c}"))
-    return rows.withColumns(neighbours).withColumn(_POS, F.col(_POS) + F.col(_OFFSET))
+        near[f"_before_{c}"] = F.last(known(c), ignorenulls=True).over(panel.up_to_row)
+        near[f"_after_{c}"] = F.first(known(c), ignorenulls=True).over(panel.from_row)
+    joined = {_POS: F.expr(f"{_POS} + {_OFFSET}")}
+    for c in columns:
+        joined[f"_prev_{c}"] = F.coalesce(shifted(f"`_before_{c}`"), F.col(f"_carry_prev_{c}"))
+        joined[f"_next_{c}"] = F.coalesce(shifted(f"`_after_{c}`"), F.col(f"_carry_next_{c}"))
+    return rows.withColumns(near).withColumns(joined)
 
 
 def _filled(c: str, limit: FillLimits) -> Column:
     """The chained steps linear, forward, backward as one expression."""
-    prev, nxt = F.col(f"_prev_{c}"), F.col(f"_next_{c}")
-    since, until = F.col(_POS) - prev["at"], nxt["at"] - F.col(_POS)
-    width = nxt["at"] - prev["at"]
-
-    def on_line(k: Column) -> Column:
-        return prev["value"] + (nxt["value"] - prev["value"]) * k / F.when(width > 0, width)
-
-    inside = prev.isNotNull() & nxt.isNotNull()
-    short = F.lit(True)
+    prev, after = f"`_prev_{c}`", f"`_next_{c}`"
+    since, until = f"({_POS} - {prev}.at)", f"({after}.at - {_POS})"
+    width = f"({after}.at - {prev}.at)"
+    inside = f"{prev} IS NOT NULL AND {after} IS NOT NULL"
     if limit.whole_gap_only:
-        short = width - 1 <= limit.linear
-    linear_reach = F.lit(limit.linear).cast("long")
-    cell = F.when(F.col(c).isNotNull(), F.col(c)).when(
-        inside & short & (since <= limit.linear), on_line(since)
-    )
-    if limit.whole_gap_only and limit.forward:
-        cell = cell.when(inside & ~short & (since <= limit.forward), prev["value"])
+        short = f"{width} - 1 <= {limit.linear}"
+    else:
+        short = "true"
+
+    def on_line(k: str) -> str:
+        slope = f"({after}.value - {prev}.value)"
+        return f"{prev}.value + {slope} * {k} / nullif({width}, 0)"
+
+    cases = [
+        f"WHEN `{c}` IS NOT NULL THEN `{c}`",
+        f"WHEN {inside} AND {short} AND {since} <= {limit.linear} THEN {on_line(since)}",
+    ]
     if limit.forward:
         # Forward fill repeats the last cell that is known by then: the last
-        # interpolated one inside a gap, the last observed one after the series.
-        cell = cell.when(
-            inside & short & (since <= limit.linear + limit.forward), on_line(linear_reach)
-        ).when(prev.isNotNull() & nxt.isNull() & (since <= limit.forward), prev["value"])
+        # interpolated one inside a gap, the last observed one elsewhere.
+        reach = limit.linear + limit.forward
+        cases += [
+            f"WHEN {inside} AND {short} AND {since} <= {reach} "
+            f"THEN {on_line(f'{limit.linear}L')}",
+            f"WHEN {inside} AND NOT ({short}) AND {since} <= {limit.forward} "
+            f"THEN {prev}.value",
+            f"WHEN {after} IS NULL AND {since} <= {limit.forward} THEN {prev}.value",
+        ]
     if limit.backward:
-        cell = cell.when(nxt.isNotNull() & (until <= limit.backward), nxt["value"])
-    return cell
+        cases.append(f"WHEN {until} <= {limit.backward} THEN {after}.value")
+    return F.expr(f"CASE {' '.join(cases)} END")
 
 
 def complete_periods(df: DataFrame, spec: PanelSpec) -> DataFrame:

@@ -203,7 +203,7 @@ def shapiro_statistic(df: DataFrame, metric: str, group: str, order: str) -> Dat
         "_i",
         "_size",
         (F.col("_x") - F.col("_mean")).alias("_d"),
-        normal_quantile((F.col("_i") - 0.375) / (F.col("_size") + 0.25)).alias("_m"),
+        normal_quantile("((_i - 0.375D) / (_size + 0.25D))").alias("_m"),
     )
     i, size, d, m = F.col("_i"), F.col("_size"), F.col("_d"), F.col("_m")
 

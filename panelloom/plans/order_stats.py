@@ -41,22 +41,25 @@ def value_counts(
     return rows.groupBy(*keys, VALUE).agg(*[w.alias(name) for name, w in weights.items()])
 
 
-def _digits(value: Column) -> tuple[Column, Column]:
-    """Two monotone leading digits of a finite double."""
-    size = F.abs(value)
-    exponent = F.greatest(F.floor(F.log2(size)), F.lit(-1074))
-    scaled = (size / F.pow(F.lit(2.0), exponent) - F.lit(1.0)) * F.lit(1024.0)
-    coarse = (exponent + F.lit(1100)) * F.lit(1024) + F.floor(scaled) + F.lit(1)
-    fine = F.floor((scaled - F.floor(scaled)) * F.lit(float(1 << 21)))
-    sign = F.when(value > 0, F.lit(1)).otherwise(F.lit(-1))
-
-    # log2(0) is NULL, so zero gets digit 0.  The coalesce also keeps the digits
-    # non-nullable: joins on them then push no null filter below the counts, and
-    # all branches of the scan reuse one exchange.
-    def digit(col: Column) -> Column:
-        return F.coalesce((sign * col).cast("int"), F.lit(0))
-
-    return digit(coarse), digit(fine)
+# Two monotone leading digits of a finite double.  log2(0) is NULL, so zero gets
+# digit 0.  The coalesce also keeps the digits non-nullable: joins on them then push
+# no null filter below the counts, and all branches of a scan reuse one exchange.
+_EXPONENT = f"greatest(floor(log2(abs({VALUE}))), -1074)"
+_SCALED = f"((abs({VALUE}) / pow(2D, {_EXPONENT}) - 1D) * 1024D)"
+_SIGN = f"IF({VALUE} > 0, 1, -1)"
+_DIGITS = {
+    _COARSE: f"({_EXPONENT} + 1100) * 1024 + floor({_SCALED}) + 1",
+    _FINE: f"floor(({_SCALED} - floor({_SCALED})) * {1 << 21})",
+}
+
+
+def _with_digits(counts: DataFrame) -> DataFrame:
+    return counts.withColumns(
+        {
+            name: F.expr(f"coalesce(CAST({_SIGN} * ({digit}) AS int), 0)")
+            for name, digit in _DIGITS.items()
+        }
+    )
 
 
 def running_totals(
@@ -67,8 +70,7 @@ def running_totals(
     ``counts`` holds one row per (keys, VALUE), as made by :func:`value_counts`.
     """
     keys = list(keys)
-    coarse, fine = _digits(F.col(VALUE))
-    counts = counts.withColumns({_COARSE: coarse, _FINE: fine})
+    counts = _with_digits(counts)
     before = (Window.unboundedPreceding, -1)
 
     def sums() -> list[Column]:
@@ -128,29 +130,22 @@ def quantiles_of_counts(
     """Radix selection: only the digit buckets that hold a wanted position go on
     to the next level, so after the first count almost nothing is sorted."""
     keys = list(keys)
-    coarse, fine = _digits(F.col(VALUE))
-    counts = counts.withColumns({_COARSE: coarse, _FINE: fine})
+    counts = _with_digits(counts)
     before = (Window.unboundedPreceding, -1)
-    total = F.col("n")
 
-    def position(p: float) -> Column:
-        return (total - 1) * F.lit(float(p))
+    def place(p: float, rounding: str) -> str:
+        return f"{rounding}((n - 1) * {float(p)!r}D)"
 
-    def holds(index: Column, below: Column, here: Column) -> Column:
-        return (below <= index) & (index < below + here)
+    def holds(index: str) -> str:
+        return f"(_below <= {index} AND {index} < _below + _here)"
 
-    def wanted(below: Column, here: Column) -> Column:
-        hits = F.lit(False)
-        for p in probs.values():
-            for index in (F.floor(position(p)), F.ceil(position(p))):
-                hits = hits | holds(index, below, here)
-        return hits
+    indexes = {place(p, way) for p in probs.values() for way in ("floor", "ceil")}
+    wanted = F.expr(" OR ".join(sorted(holds(i) for i in indexes)))
 
     def preceding(scope: list[str], order: str) -> Column:
         window = Window.partitionBy(*scope).orderBy(order).rowsBetween(*before)
         return F.coalesce(F.sum("_here").over(window), F.lit(0))
 
-    here, below = F.col("_here"), F.col("_below")
     at_coarse, at_fine = [*keys, _COARSE], [*keys, _COARSE, _FINE]
     coarse_picks = (
         counts.groupBy(*at_coarse)
@@ -161,7 +156,7 @@ def quantiles_of_counts(
                 "n": F.sum("_here").over(Window.partitionBy(*keys)),
             }
         )
-        .where(wanted(below, here))
+        .where(wanted)
         .select(*at_coarse, F.col("_below").alias("_below_coarse"), "n")
     )
     fine_picks = (
@@ -173,7 +168,7 @@ def quantiles_of_counts(
             F.max("n").alias("n"),
         )
         .withColumn("_below", F.col("_below_coarse") + preceding(at_coarse, _FINE))
-        .where(wanted(below, here))
+        .where(wanted)
         .select(*at_fine, F.col("_below").alias("_below_fine"), "n")
     )
     values = (
@@ -183,22 +178,16 @@ def quantiles_of_counts(
     )
     picks = []
     for name, p in probs.items():
-        for side, index in (("lo", F.floor(position(p))), ("hi", F.ceil(position(p)))):
-            hit = F.when(holds(index, below, here), F.col(VALUE))
-            picks.append(F.max(hit).alias(f"{name}_{side}"))
+        for side, way in (("lo", "floor"), ("hi", "ceil")):
+            hit = f"max(CASE WHEN {holds(place(p, way))} THEN {VALUE} END)"
+            picks.append(F.expr(hit).alias(f"{name}_{side}"))
     found = values.groupBy(*keys, "n").agg(*picks)
-    return found.select(
-        *keys,
-        "n",
-        *[
-            (
-                F.col(f"{name}_lo")
-                + (F.col(f"{name}_hi") - F.col(f"{name}_lo"))
-                * (position(p) - F.floor(position(p)))
-            ).alias(name)
-            for name, p in probs.items()
-        ],
-    )
+    between = {
+        name: f"{name}_lo + ({name}_hi - {name}_lo) * "
+        f"((n - 1) * {float(p)!r}D - {place(p, 'floor')})"
+        for name, p in probs.items()
+    }
+    return found.select(*keys, "n", *[F.expr(e).alias(name) for name, e in between.items()])
 
 
 def column_quantiles(

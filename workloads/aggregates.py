@@ -201,7 +201,7 @@ FROM indexed WHERE period = 2000""",
     "top_gap mean_rate mean_reference_rate top_share rate_difference median_gap",
 )
 def key_figure_row(t):
-    latest = analytic_panel(t).where(F.col("period") == 2000)
+    latest = t.stored_analytic_panel.where(F.col("period") == 2000)
     return key_figures(latest, "entity", "gap", "share", "rate", "share")
 
 
@@ -252,7 +252,7 @@ SELECT CASE WHEN lo < 0 AND hi > 0 THEN -greatest(abs(lo), abs(hi)) ELSE lo END
     "low high",
 )
 def robust_scale_range(t):
-    return scale_range(analytic_panel(t), "growth", robust=True, diverging=True)
+    return scale_range(t.stored_analytic_panel, "growth", robust=True, diverging=True)
 
 
 @query(
@@ -363,7 +363,7 @@ FROM ends WHERE a IS NOT NULL AND b IS NOT NULL""",
     "index_growth_pct level_growth_pct cumulative_gap_pct",
 )
 def medians_of_endpoints(t):
-    summary = compare_endpoints(analytic_panel(t), NATION, "idx", "level", 1998, 2001)
+    summary = compare_endpoints(t.stored_analytic_panel, NATION, "idx", "level", 1998, 2001)
     return endpoint_medians(
         summary, ["index_growth_pct", "level_growth_pct", "cumulative_gap_pct"]
     )

@@ -12,13 +12,6 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from panelloom.functions import normal
-from panelloom.functions.tails import (
-    ROYSTON_A1,
-    ROYSTON_A2,
-    ROYSTON_GAMMA,
-    ROYSTON_MEAN_SMALL,
-    ROYSTON_SD_SMALL,
-)
 from panelloom.functions.resampling import (
     DRAW_STEP,
     GROUP_STEP,
@@ -28,6 +21,13 @@ from panelloom.functions.resampling import (
     SHIFT,
     poisson_thresholds,
 )
+from panelloom.functions.tails import (
+    ROYSTON_A1,
+    ROYSTON_A2,
+    ROYSTON_GAMMA,
+    ROYSTON_MEAN_SMALL,
+    ROYSTON_SD_SMALL,
+)
 from panelloom.operators.bootstrap import EXACT_ROWS, bootstrap_ci, bootstrap_means
 from panelloom.operators.components import complete_rows, fit_components
 from panelloom.operators.correlation import (
@@ -65,14 +65,14 @@ from panelloom.operators.group_tests import (
 from panelloom.operators.growth import compare_endpoints
 from panelloom.operators.outliers import iqr_mask, iqr_outliers
 from workloads.registry import query
-from workloads.tables import GROWN_SQL, HOLED_SQL, NATION, PANEL_SQL, analytic_panel
+from workloads.tables import GROWN_SQL, HOLED_SQL, NATION, PANEL_SQL
 
 MEASURES = ["level", "balance", "rate", "share"]
 ITEM_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def year(t, period: int = 1999):
-    return t.panel.where(F.col("period") == period)
+    return t.stored_panel.where(F.col("period") == period)
 
 
 YEAR_SQL = PANEL_SQL + ", y AS (SELECT * FROM panel WHERE period = 1999)"
@@ -765,7 +765,7 @@ SELECT component_no, 'PC' || component_no AS component, value / 3 * 100 AS varia
 )
 def explained_variance(t):
     ids = ["entity", "period", "grp"]
-    return fit_components(analytic_panel(t), ["level", "rate", "share"], ids).variance
+    return fit_components(t.stored_analytic_panel, ["level", "rate", "share"], ids).variance
 
 
 TWO_SQL = f"""WITH {PANEL_SQL},
@@ -786,7 +786,7 @@ FROM panel, m""",
     "PC1 PC2",
 )
 def component_scores(t):
-    fitted = fit_components(t.panel, ["level", "rate"], ["entity", "period"])
+    fitted = fit_components(t.stored_panel, ["level", "rate"], ["entity", "period"])
     return fitted.scores.select(
         "entity", "period", F.abs("PC1").alias("PC1"), F.abs("PC2").alias("PC2")
     )
@@ -801,7 +801,7 @@ FROM m""",
     "PC1 PC2",
 )
 def component_loadings(t):
-    fitted = fit_components(t.panel, ["level", "rate"], ["entity", "period"])
+    fitted = fit_components(t.stored_panel, ["level", "rate"], ["entity", "period"])
     return fitted.loadings.select(
         "feature", F.abs("PC1").alias("PC1"), F.abs("PC2").alias("PC2")
     )
@@ -820,7 +820,7 @@ WHERE NOT level_imputed AND NOT share_imputed AND share IS NOT NULL""",
     7,
 )
 def eligible_rows(t):
-    return complete_rows(analytic_panel(t), ["level", "share"], ["entity", "period"])
+    return complete_rows(t.stored_analytic_panel, ["level", "share"], ["entity", "period"])
 
 
 # --- facts ----------------------------------------------------------------------
@@ -840,7 +840,7 @@ LATEST_SQL = GROWN_SQL + ", latest AS (SELECT * FROM indexed WHERE period = 2000
 
 
 def latest(t):
-    return analytic_panel(t).where(F.col("period") == 2000)
+    return t.stored_analytic_panel.where(F.col("period") == 2000)
 
 
 @query(
@@ -923,7 +923,7 @@ ENDS_SQL = """ends AS (
 
 def endpoints(t):
     return compare_endpoints(
-        analytic_panel(t), NATION, "idx", "level", 1998, 2001, carry=("grp",)
+        t.stored_analytic_panel, NATION, "idx", "level", 1998, 2001, carry=("grp",)
     )
 
 
@@ -969,7 +969,7 @@ def facts_of_endpoints(t):
 )
 def masked_spearman(t):
     columns = ["level", "rate", "share", "growth"]
-    masked = mask_imputed(analytic_panel(t), columns)
+    masked = mask_imputed(t.stored_analytic_panel, columns)
     return correlation_pairs(masked, columns, "spearman")
 
 

@@ -15,6 +15,7 @@ from panelloom import PanelSpec
 from panelloom.operators.gaps import exclude_incomplete, fill_gaps
 from panelloom.operators.growth import add_chained_index, add_gap, add_growth
 from panelloom.sources.shared import shared_folder
+from panelloom.sources.sinks import write_view
 from panelloom.sources.tables import read_parquet
 
 # Nation-year panel: the declared range keeps one entity below one window segment.
@@ -97,6 +98,21 @@ class Tables:
             (F.col("finished") * 100.0 / n).alias("share"),
         )
 
+    def stored(self, df: DataFrame) -> DataFrame:
+        """Write a derived frame once and read it back: statistics that take several
+        passes then scan stored columns instead of repeating the joins."""
+        path = f"{self.scratch()}/stored"
+        write_view(df, path)
+        return read_parquet(self.spark, path)
+
+    @cached_property
+    def stored_panel(self) -> DataFrame:
+        return self.stored(self.panel)
+
+    @cached_property
+    def stored_analytic_panel(self) -> DataFrame:
+        return self.stored(analytic_panel(self))
+
     @cached_property
     def gappy(self) -> DataFrame:
         """The panel with deterministic gaps."""
