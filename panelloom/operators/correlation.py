@@ -57,17 +57,16 @@ def _pair_cells(cols: Sequence[str], method: str) -> tuple[list[Column], list[tu
             F.col(f"`{a}|{b}`"),
             F.col(f"`{b}|{a}`"),
         )
-        left, right = F.when(both, F.col(a)), F.when(both, F.col(b))
-        varied = (F.min(left) < F.max(left)) & (F.min(right) < F.max(right))
+        x, y = F.when(both, x), F.when(both, y)
+        # Not ``corr``: in ANSI mode that fails on a constant column.
+        spread = F.stddev_pop(x) * F.stddev_pop(y)
+        varied = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
         cells.append(
             F.struct(
                 F.lit(a).alias("var_a"),
                 F.lit(b).alias("var_b"),
                 F.count_if(both).alias("n"),
-                F.when(
-                    F.coalesce(varied, F.lit(False)),
-                    F.corr(F.when(both, x), F.when(both, y)),
-                ).alias("r"),
+                (F.covar_pop(x, y) / F.when(varied & (spread > 0), spread)).alias("r"),
             )
         )
     return cells, pairs

@@ -5,7 +5,8 @@ period axis of each entity is cut into segments of ``segment_span`` periods.
 Windows run inside (entity, segment); what a segment needs from its neighbours
 (last known value, running product, row offset) travels in a small table with
 one row per segment, scanned per entity and joined back on (entity, segment).
-Rows and summaries share one hash partitioning, so the wide rows move once.
+Rows and summaries are hash-partitioned alike, so the join moves neither: the wide
+rows are shuffled once, and the key and measured columns once more for the summary.
 """
 
 from __future__ import annotations

@@ -602,6 +602,9 @@ def rank_statistics_of_documents(t):
 
 
 # All ways to place five of ten ranks: exact two-sided p for two groups of five.
+# With ties the normal approximation applies.
+TIED_P = f"""least(1.0::DOUBLE, 2 * {normal_sf_sql(
+    '((greatest(U, 25 - U) - 13) / sqrt(25 / 12.0::DOUBLE * (11 - ties / 90)))')})"""
 EXACT_P = """(SELECT least(1.0::DOUBLE, 2.0::DOUBLE * count(*) FILTER (
     WHERE place >= greatest(U, 25 - U)) / count(*)) FROM placements)"""
 PLACEMENTS_SQL = """placements AS (
@@ -615,7 +618,7 @@ PLACEMENTS_SQL = """placements AS (
     "t13_mann_whitney_pairs",
     f"""WITH {shifted_sql()}, src AS (SELECT grp AS g, v AS x FROM z), {MWU_SQL},
 {PLACEMENTS_SQL},
-p AS (SELECT *, {EXACT_P} AS p_value FROM u),
+p AS (SELECT *, CASE WHEN ties = 0 THEN {EXACT_P} ELSE {TIED_P} END AS p_value FROM u),
 s AS (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p_value, group_A, group_B) + 1)
         * p_value AS scaled FROM p),
 h AS (SELECT *, least(1.0::DOUBLE, max(scaled) OVER (ORDER BY p_value, group_A, group_B
