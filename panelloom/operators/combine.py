@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.operators.quality import require_unique
-from panelloom.plans.broadcasting import if_small
 from panelloom.plans.order_stats import as_scalar
 from panelloom.spec import PanelSpec
 
@@ -38,13 +37,17 @@ def merge_measures_by_join(parts: Sequence[DataFrame], key: Sequence[str]) -> Da
 
 
 def attach_lookup(df: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
-    """Left join to a lookup; rows without an entry keep NULL attributes."""
-    return df.join(if_small(lookup), key, "left")
+    """Left join to a lookup; rows without an entry keep NULL attributes.
+
+    The join carries no hint: Spark broadcasts a lookup whose files are known to
+    be small and shuffles a large one, splitting skewed keys at run time.
+    """
+    return df.join(lookup, key, "left")
 
 
 def keep_listed(df: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     """Semi-join: keep rows whose key occurs in the lookup."""
-    return df.join(if_small(lookup.select(key)), key, "left_semi")
+    return df.join(lookup.select(key), key, "left_semi")
 
 
 def attach_context(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from panelloom.functions.cells import finite
 from panelloom.functions.tails import correlation_p_value
+from panelloom.plans.broadcasting import BROADCAST_ROWS, distinct_counts
 from panelloom.plans.order_stats import (
     COUNT,
     VALUE,
@@ -27,9 +28,10 @@ def _partner_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Add ``<a>|<b>``: rank of a among the rows where a and b are both known.
 
     One scan of each column's values carries a running count per partner, so the
-    work grows with the number of columns and not with the number of pairs.
+    work grows with the number of columns and not with the number of pairs.  The
+    ranks of a column with few distinct values are broadcast.
     """
-    rows = df
+    rows, distinct = df, distinct_counts(df, cols)
     for c in cols:
         partners = [p for p in cols if p != c]
         names = {p: f"_with_{i}" for i, p in enumerate(partners)}
@@ -43,6 +45,8 @@ def _partner_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                 for p in partners
             ],
         )
+        if distinct[c] <= BROADCAST_ROWS:
+            ranks = F.broadcast(ranks)
         rows = rows.withColumn("_at", F.col(c) + F.lit(0.0)).join(ranks, "_at", "left")
         rows = rows.drop("_at")
     return rows

@@ -138,10 +138,18 @@ def _filled(c: str, limit: FillLimits) -> Column:
 
 def complete_periods(df: DataFrame, spec: PanelSpec) -> DataFrame:
     """Add a NULL row for every period missing between an entity's first and last."""
-    spans = df.groupBy(spec.entity).agg(
-        F.min(spec.period).alias("_from"), F.max(spec.period).alias("_to")
+    period, step = spec.period, spec.segment_span
+    spans = df.groupBy(spec.entity).agg(F.min(period).alias("_from"), F.max(period).alias("_to"))
+    # Two short sequences instead of one that may be as long as the period axis.
+    blocks = spans.withColumn(
+        "_block", F.expr(f"explode(sequence(floor(_from / {step}), floor(_to / {step})))")
     )
-    grid = spans.select(spec.entity, F.explode(F.sequence("_from", "_to")).alias(spec.period))
+    inside = (
+        f"explode(sequence(greatest(_from, _block * {step}), "
+        f"least(_to, _block * {step} + {step - 1})))"
+    )
+    grid = blocks.select(spec.entity, F.expr(inside).alias(period))
+    grid = grid.withColumn(period, F.col(period).cast(df.schema[period].dataType))
     return grid.join(df, spec.key, "left").select(*df.columns)
 
 

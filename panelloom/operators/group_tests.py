@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelloom.functions.cells import finite, is_finite
 from panelloom.functions.normal import normal_quantile
@@ -171,14 +172,15 @@ def delta_label(delta: Column) -> Column:
 def shapiro_statistic(df: DataFrame, metric: str, group: str, order: str) -> DataFrame:
     """Rows (group, n, w, note) by Royston's approximation.
 
-    Above 5,000 observations the first 5,000 by ``order`` are used; they are
-    found in two steps, first inside salted parts of a group.
+    Above 5,000 observations the first 5,000 by ``order`` are used.  A sketch of the
+    order column drops most other rows of a large group before anything is
+    shuffled; the rest are ranked in two steps, first inside salted parts of a group.
     """
     rows = df.where(F.col(group).isNotNull()).select(
         group, F.col(order).alias("_order"), finite(F.col(metric)).alias("_x")
     )
     sizes = rows.groupBy(group).agg(F.count("_x").alias("n"))
-    rows = rows.where(F.col("_x").isNotNull())
+    rows = _early_rows(rows.where(F.col("_x").isNotNull()), group)
     by_order = ["_order", "_x"]
     salt = F.pmod(F.xxhash64("_order", "_x"), F.lit(_SALTS)).alias("_salt")
     salted = Window.partitionBy(group, "_salt").orderBy(*by_order)
@@ -232,6 +234,32 @@ def shapiro_statistic(df: DataFrame, metric: str, group: str, order: str) -> Dat
     )
 
 
+def _early_rows(rows: DataFrame, group: str) -> DataFrame:
+    """Rows of each group up to a position safely past the first 5,000.
+
+    The quantile sketch is off by at most 1/10,000 of the group; the position taken
+    leaves ten times that.  Small groups stay whole, as do non-numeric orders.
+    """
+    if not isinstance(rows.schema["_order"].dataType, T.NumericType):
+        return rows
+    shares = [0.002, 0.02, 0.2]
+    cuts = rows.groupBy(group).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.percentile_approx("_order", shares, 10_000).alias("_cuts"),
+    )
+    needed = F.lit(float(SHAPIRO_ROWS)) / F.col("_n") + 0.001
+    cut = F.lit(None)
+    for i, share in reversed(list(enumerate(shares))):
+        cut = F.when(needed <= share, F.col("_cuts")[i]).otherwise(cut)
+    cuts = if_small(
+        cuts.select(group, cut.alias("_cut")), sized_by=rows.select(group).distinct()
+    )
+    kept = rows.join(cuts, group).where(
+        F.col("_cut").isNull() | (F.col("_order") <= F.col("_cut"))
+    )
+    return kept.drop("_cut")
+
+
 def _royston_statistic(sums: DataFrame) -> DataFrame:
     """Add ``w`` to one row of sums per group.
 

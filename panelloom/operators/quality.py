@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,41 +12,16 @@ from panelloom.functions.cells import INFINITY, flag, quoted
 from panelloom.spec import PanelSpec
 
 
-def profile_columns(df: DataFrame, view: str, stage: str) -> DataFrame:
+def profile_columns(
+    df: DataFrame, view: str, stage: str, approximate: bool = False
+) -> DataFrame:
     """One row per column: type, rows, missing, distinct and imputed cells.
 
     Cells are laid out as (column, value) and counted per value first, with
     map-side combining, so neither a hot value nor a wide table makes a hot task.
+    ``approximate`` estimates the distinct counts and needs no such shuffle.
     """
-    names = df.columns
-    flags = {c: f"{c}_imputed" for c in names if not c.endswith("_imputed")}
-    cells = []
-    for position, field in enumerate(df.schema.fields):
-        value = quoted(field.name)
-        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            value = value + F.lit(0.0)  # one spelling of zero
-        imputed = F.lit(False)
-        if flags.get(field.name) in names:
-            imputed = flag(quoted(flags[field.name]))
-        cells.append(
-            F.struct(
-                F.lit(position).alias("position"),
-                value.cast("string").alias("value"),
-                imputed.cast("long").alias("imputed"),
-            )
-        )
-    long = df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
-    per_value = long.groupBy("position", "value").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("imputed").alias("imputed")
-    )
-    counted = per_value.groupBy("position").agg(
-        F.sum("rows").alias("row_count"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("rows"))), F.lit(0)).alias(
-            "missing_count"
-        ),
-        F.count("value").alias("unique_count"),
-        F.sum("imputed").alias("imputed_count"),
-    )
+    counted = _estimated_counts(df) if approximate else _exact_counts(df)
     # The list of columns comes from the schema, so an empty table has a profile too.
     schema = F.array(
         *[
@@ -76,6 +51,53 @@ def profile_columns(df: DataFrame, view: str, stage: str) -> DataFrame:
     )
 
 
+def _imputed(df: DataFrame, name: str) -> Column:
+    flag_name = f"{name}_imputed"
+    if name.endswith("_imputed") or flag_name not in df.columns:
+        return F.lit(False)
+    return flag(quoted(flag_name))
+
+
+def _exact_counts(df: DataFrame) -> DataFrame:
+    cells = []
+    for position, field in enumerate(df.schema.fields):
+        value = quoted(field.name)
+        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+            value = value + F.lit(0.0)  # one spelling of zero
+        cells.append(
+            F.struct(
+                F.lit(position).alias("position"),
+                value.cast("string").alias("value"),
+                _imputed(df, field.name).cast("long").alias("imputed"),
+            )
+        )
+    long = df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
+    per_value = long.groupBy("position", "value").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("imputed").alias("imputed")
+    )
+    missing = F.sum(F.when(F.col("value").isNull(), F.col("rows")))
+    return per_value.groupBy("position").agg(
+        F.sum("rows").alias("row_count"),
+        missing.alias("missing_count"),
+        F.count("value").alias("unique_count"),
+        F.sum("imputed").alias("imputed_count"),
+    )
+
+
+def _estimated_counts(df: DataFrame) -> DataFrame:
+    cells = [
+        F.struct(
+            F.lit(position).alias("position"),
+            F.count(F.lit(1)).alias("row_count"),
+            F.count_if(quoted(name).isNull()).alias("missing_count"),
+            F.approx_count_distinct(quoted(name)).alias("unique_count"),
+            F.count_if(_imputed(df, name)).alias("imputed_count"),
+        )
+        for position, name in enumerate(df.columns)
+    ]
+    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+
+
 def duplicate_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """Key tuples that occur more than once, with their number of rows."""
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > 1)

@@ -118,10 +118,24 @@ def average_rank(below: Column, ties: Column) -> Column:
 
 
 def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: Mapping[str, float],
+    approximate: bool = False,
 ) -> DataFrame:
-    """Exact, linearly interpolated quantiles per key tuple, and ``n``."""
-    return quantiles_of_counts(value_counts(df, keys, value), keys, probs)
+    """Linearly interpolated quantiles per key tuple, and ``n``.
+
+    Exact unless ``approximate`` asks for Spark's quantile sketch.
+    """
+    if not approximate:
+        return quantiles_of_counts(value_counts(df, keys, value), keys, probs)
+    rows = df.where(is_finite(F.col(value)))
+    for key in keys:
+        rows = rows.where(F.col(key).isNotNull())
+    sketch = F.percentile_approx(F.col(value).cast("double"), list(probs.values()), 10_000)
+    found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), sketch.alias("_q"))
+    return found.select(*keys, "n", *[F.col("_q")[i].alias(p) for i, p in enumerate(probs)])
 
 
 def quantiles_of_counts(

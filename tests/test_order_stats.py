@@ -61,3 +61,10 @@ def test_medians_of_empty_columns_are_null(spark):
     df = spark.createDataFrame([(1.0, None), (3.0, None)], "a double, b double")
     row = column_medians(df, ["a", "b"]).first()
     assert (row["a"], row["b"]) == (2.0, None)
+
+
+def test_sketch_is_an_option(spark):
+    df = spark.range(10_001).selectExpr("id % 2 AS g", "CAST(id AS double) AS v")
+    got = quantiles(df, ["g"], "v", {"mid": 0.5, "top": 1.0}, approximate=True)
+    for r in got.collect():
+        assert abs(r["mid"] - 5000) < 10 and r["top"] >= 9999

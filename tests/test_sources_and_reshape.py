@@ -182,6 +182,8 @@ def test_profile_counts(spark):
     assert (v["missing_count"], v["missing_pct"], v["unique_count"], v["imputed_count"]) == (
         1, 25.0, 2, 2)
     assert got["v_imputed"]["imputed_count"] == 0 and got["s"]["unique_count"] == 2
+    near = {r["column"]: tuple(r) for r in profile_columns(df, "t", "s", approximate=True).collect()}
+    assert near == {name: tuple(r) for name, r in got.items()}
     flags = reconcile_flags(df, profile_columns(df, "t", "s")).collect()
     assert [(r["column"], r["agrees"]) for r in flags] == [("v", True)]
 
