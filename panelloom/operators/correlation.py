@@ -65,12 +65,13 @@ def _pair_cells(cols: Sequence[str], method: str) -> tuple[list[Column], list[tu
         # Not ``corr``: in ANSI mode that fails on a constant column.
         spread = F.stddev_pop(x) * F.stddev_pop(y)
         varied = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+        r = F.covar_pop(x, y) / F.when(varied & (spread > 0), spread)
         cells.append(
             F.struct(
                 F.lit(a).alias("var_a"),
                 F.lit(b).alias("var_b"),
                 F.count_if(both).alias("n"),
-                (F.covar_pop(x, y) / F.when(varied & (spread > 0), spread)).alias("r"),
+                F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"),
             )
         )
     return cells, pairs
