@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelloom.llm.word_tokens import WordTokenizer
+from panelloom.llm.word_tokens import word_tokenizer
 from panelloom.sources.shared import shared_folder
 
 BLOCK_IDS = 1024
@@ -84,7 +84,7 @@ def write_ids(
     )
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = WordTokenizer(vocabulary)
+        tokenizer = word_tokenizer(vocabulary)
         width = width_of(max(tokenizer.vocabulary, (end_id or 0) + 1))
         tail = np.zeros(0, np.uint32) if end_id is None else np.array([end_id], np.uint32)
         rows, held, part, row = [], 0, 0, 0

@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 from panelloom.llm.common import gathered
 
 # Distinct chunks kept; emptied at this size.  It saves encoding a chunk again.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 1_000_000
+# Words the library encodes in one call.
+ENCODE_WORDS = 4_000
+# A word that ends in a letter, and the punctuation after it: the pre-tokeniser always
+# cuts between the two.
+TAILED = re.compile(rb"(.*[a-z])([!-/:-@\[-`{-~]+)", re.S)
+MARK = b"<|"
+
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of this Python worker; its cache serves one task after another."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
 
 
 class WordTokenizer:
@@ -15,7 +32,9 @@ class WordTokenizer:
 
     The tokenizer's pre-tokens never reach over white space and its normaliser looks at no
     neighbours over it, so the ids of a text are those of its chunks one after another.
-    Each distinct chunk is encoded by the library once; texts are assembled with numpy.
+    A chunk is a lower-cased word and the punctuation after it; each distinct word is
+    encoded by the library once, and texts are assembled with numpy.  Chunks that may hold
+    a special string go to the library as they are.
     """
 
     def __init__(self, path: str):
@@ -29,32 +48,52 @@ class WordTokenizer:
 
     def _reset(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.starts = np.zeros(1024, np.int64)
-        self.lengths = np.zeros(1024, np.int64)
+        self.words: dict[bytes, int] = {}
+        # Words: where their ids lie in flat.  Chunks: their two words, or one twice.
+        self.word_at = np.zeros((1024, 2), np.int64)
+        self.chunk_at = np.zeros((1024, 2), np.int64)
         self.flat = np.zeros(4096, np.uint32)
         self.used = 0
+        # Word 0 has no ids: the tail of a chunk without one.
+        self.words[b""] = 0
+
+    def _encode_words(self, words: list[bytes]) -> None:
+        for i in range(0, len(words), ENCODE_WORDS):
+            texts = [w.decode("utf-8", "replace") for w in words[i : i + ENCODE_WORDS]]
+            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ids = np.array(found.ids, np.uint32)
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            begins = np.cumsum(sizes + 1) - sizes - 1
+            at = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+            lengths = np.bincount(
+                np.searchsorted(begins, at, side="right") - 1, minlength=len(texts)
+            )
+            self.flat = _room(self.flat, self.used + len(ids))
+            self.flat[self.used : self.used + len(ids)] = ids
+            n = len(self.words)
+            self.word_at = _room(self.word_at, n + len(texts))
+            self.word_at[n : n + len(texts), 0] = self.used + np.cumsum(lengths) - lengths
+            self.word_at[n : n + len(texts), 1] = lengths
+            self.words.update(zip(words[i : i + ENCODE_WORDS], range(n, n + len(texts)), strict=True))
+            self.used += len(ids)
 
     def _learn(self, chunks: list[bytes]) -> None:
-        texts = [c.decode("utf-8", "replace") for c in chunks]
-        found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        n = len(self.number)
-        while len(self.starts) < n + len(chunks):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(lengths.sum())
-        while len(self.flat) < self.used + total:
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        ends = self.used + np.cumsum(lengths)
-        self.starts[n : n + len(chunks)] = ends - lengths
-        self.lengths[n : n + len(chunks)] = lengths
-        self.flat[self.used : self.used + total] = np.fromiter(
-            (i for ids in found for i in ids), np.uint32, total
-        )
-        self.used += total
+        parts = []
         for chunk in chunks:
-            self.number[chunk] = n
-            n += 1
+            if MARK in chunk:
+                parts.append((chunk, b""))
+                continue
+            low = chunk.lower()
+            tailed = TAILED.fullmatch(low)
+            parts.append(tailed.groups() if tailed else (low, b""))
+        words = self.words
+        self._encode_words(
+            list(dict.fromkeys(w for pair in parts for w in pair if w not in words))
+        )
+        n = len(self.number)
+        self.chunk_at = _room(self.chunk_at, n + len(chunks))
+        self.chunk_at[n : n + len(chunks)] = [(words[a], words[b]) for a, b in parts]
+        self.number.update(zip(chunks, range(n, n + len(chunks)), strict=True))
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of one text (null: empty) as unsigned 32-bit integers."""
@@ -68,5 +107,12 @@ class WordTokenizer:
         if None in numbers:
             self._learn(list(dict.fromkeys(c for c in chunks if c not in self.number)))
             numbers = list(map(get, chunks))
-        at = np.array(numbers)
-        return self.flat[gathered(self.starts[at], self.lengths[at])]
+        runs = self.word_at[self.chunk_at[np.array(numbers)].ravel()]
+        return self.flat[gathered(runs[:, 0], runs[:, 1])]
+
+
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    """``array``, grown to twice its length until ``size`` rows fit."""
+    while len(array) < size:
+        array = np.concatenate([array, np.zeros_like(array)])
+    return array
