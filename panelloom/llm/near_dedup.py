@@ -1,0 +1,248 @@
+"""Near-duplicate classes by MinHash sketches, banding and exact verification.
+
+Sketches place the hashed shingles of a set into bins, round by round: in the first rounds
+each shingle falls into a random bin, in later rounds all shingles go to one bin after
+another, so every coordinate fills; a coordinate keeps the least (round, value).  Sets agree
+in a coordinate with the probability of their similarity, and one round is enough for sets
+of some size.
+
+Bands of coordinates only propose: documents that share a band, directly or through
+others, form a cluster.  All pairs of a cluster are compared on their full sets, block
+against block inside tasks, and only a spanning forest of the links leaves a task.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from panelloom.llm.common import mixed, stored
+from panelloom.llm.connected import components
+from panelloom.llm.shingles import Shingler
+
+# With similarity s a pair shares no band with probability (1 - s^BAND_ROWS)^BANDS:
+# 5e-6 at 0.8, and 0.003 of the pairs at 0.2 share one.
+BANDS, BAND_ROWS = 40, 6
+# Members of a cluster compared with each other in one task are two blocks of this size.
+BLOCK = 128
+EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+ROUND_STEP = np.uint64(0x9E3779B97F4A7C15)
+# Columns of the membership matrix at a time.
+COLUMNS = 4096
+
+
+def sketch(shingles: np.ndarray, bins: int) -> np.ndarray:
+    """The sketch of a set of 64-bit hashes (not empty); ``bins`` coordinates."""
+    n = len(shingles)
+    out = np.full(bins, EMPTY)
+    begin = 0
+    # Rounds are independent, so as many as are likely to be needed run in one step; a
+    # round too many changes nothing, as later rounds lose against earlier ones.
+    step = max(1, min(bins, math.ceil(bins * (math.log(bins) + 1) / n)))
+    while begin < 2 * bins:
+        rounds = np.arange(begin, min(begin + step, 2 * bins), dtype=np.uint64)
+        h = mixed(shingles[None, :] ^ mixed((rounds + np.uint64(1)) * ROUND_STEP)[:, None])
+        place = np.where(
+            (rounds < bins)[:, None],
+            h % np.uint64(bins),
+            np.maximum(rounds, np.uint64(bins))[:, None] - np.uint64(bins),
+        )
+        value = (rounds[:, None] << np.uint64(52)) | (h >> np.uint64(12))
+        np.minimum.at(out, place.astype(np.int64).ravel(), value.ravel())
+        if not (out == EMPTY).any():
+            break
+        begin += step
+    return out
+
+
+def band_keys(coordinates: np.ndarray) -> np.ndarray:
+    """One signed 64-bit key per band; equal bands at different places differ."""
+    rows = coordinates.reshape(BANDS, BAND_ROWS)
+    key = mixed(np.arange(1, BANDS + 1, dtype=np.uint64) * ROUND_STEP)
+    for i in range(BAND_ROWS):
+        key = mixed((key ^ rows[:, i]) * ROUND_STEP)
+    return key.view(np.int64)
+
+
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n_shingles, set_key (of the whole set), bands; the latter null for empty sets."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler = Shingler(words)
+        for batch in batches:
+            counts, keys, bands = [], [], []
+            for text in batch["text"]:
+                found = shingler.hashes(text)
+                counts.append(len(found))
+                if len(found):
+                    keys.append(xxhash.xxh3_128_digest(found.tobytes()))
+                    bands.append(band_keys(sketch(found, BANDS * BAND_ROWS)))
+                else:
+                    keys.append(None)
+                    bands.append(None)
+            yield pd.DataFrame(
+                {
+                    "doc_id": batch["doc_id"].astype("Int64"),
+                    "n_shingles": counts,
+                    "set_key": keys,
+                    "bands": bands,
+                }
+            )
+
+    return docs.select("doc_id", "text").mapInPandas(
+        make, "doc_id long, n_shingles long, set_key binary, bands array<long>"
+    )
+
+
+def linked_pairs(sets: list[np.ndarray], split: int, percent: int) -> np.ndarray:
+    """Pairs (i, j), i < j, of the sets whose similarity is at least ``percent`` / 100.
+
+    With ``split`` > 0 only pairs of a set before it and one from it on count.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, symbol, times = np.unique(
+        np.concatenate(sets), return_inverse=True, return_counts=True
+    )
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    # Shingles of one set only are in no intersection.
+    shared = times[symbol] > 1
+    symbol, owner = symbol[shared], owner[shared]
+    order = np.argsort(symbol, kind="stable")
+    symbol, owner = symbol[order], owner[order]
+    symbol = np.cumsum(np.append(False, symbol[1:] != symbol[:-1])) if len(symbol) else symbol
+    both = np.zeros((len(sets), len(sets)), np.float64)
+    if len(symbol):
+        width = int(symbol[-1]) + 1
+        for begin in range(0, width, COLUMNS):
+            low, high = np.searchsorted(symbol, [begin, begin + COLUMNS])
+            part = np.zeros((len(sets), min(COLUMNS, width - begin)), np.float32)
+            part[owner[low:high], symbol[low:high] - begin] = 1
+            both += part @ part.T
+    union = sizes[:, None] + sizes[None, :] - both
+    hit = np.triu(100 * both >= percent * union, 1)
+    if split:
+        hit[:split, :split] = False
+        hit[split:, split:] = False
+    return np.argwhere(hit)
+
+
+def spanning(pairs: np.ndarray, n: int) -> np.ndarray:
+    """Parent of each of ``n`` nodes: the least node it is connected with."""
+    parent = np.arange(n)
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for a, b in pairs.tolist():
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return np.array([root(i) for i in range(n)], dtype=np.int64)
+
+
+def _clusters(reps: DataFrame) -> DataFrame:
+    """rep, cluster: documents that share a band, directly or through others."""
+    bands = reps.select("rep", F.explode("bands").alias("band"))
+    heads = (
+        bands.groupBy("band")
+        .agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1")
+    )
+    shared = bands.join(heads.select("band", "head"), "band").where("rep <> head")
+    edges = shared.select(F.col("rep").alias("a"), F.col("head").alias("b"))
+    return components(edges).select(
+        F.col("node").alias("rep"), F.col("label").alias("cluster")
+    )
+
+
+def _verified(docs: DataFrame, clusters: DataFrame, words: int, percent: int) -> DataFrame:
+    """Edges (a, b) that span the linked documents of every cluster."""
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    placed = (
+        clusters.join(sizes, "cluster")
+        .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        .select(F.col("rep").alias("doc_id"), "cluster", "blocks", "block")
+    )
+    texts = docs.select("doc_id", "text").join(placed, "doc_id")
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler = Shingler(words)
+        for batch in batches:
+            out = batch[["doc_id", "cluster", "blocks", "block"]].copy()
+            out["shingles"] = [shingler.hashes(t).tobytes() for t in batch["text"]]
+            yield out
+
+    with_sets = texts.mapInPandas(
+        sets, "doc_id long, cluster long, blocks int, block int, shingles binary"
+    )
+    # Each block meets every block of its cluster, itself too, once.
+    met = with_sets.select(
+        "*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    ).select(
+        "cluster",
+        F.least("block", "other").alias("i"),
+        F.greatest("block", "other").alias("j"),
+        "block",
+        "doc_id",
+        "shingles",
+    )
+
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["block", "doc_id"], kind="stable")
+        found = [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
+        ids = pdf["doc_id"].to_numpy(np.int64)
+        split = 0 if key[1] == key[2] else int((pdf["block"] == key[1]).sum())
+        parent = spanning(linked_pairs(found, split, percent), len(ids))
+        child = np.flatnonzero(parent != np.arange(len(ids)))
+        return pd.DataFrame({"a": ids[child], "b": ids[parent[child]]})
+
+    return met.groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """Classes of near-duplicate documents: doc_id, n_shingles, component_id, kept.
+
+    Documents whose sets of ``words``-word shingles have a similarity (intersection over
+    union) of at least ``percent`` / 100 are linked; a class is what links connect, and
+    ``component_id`` its smallest doc_id; ``kept`` marks the document with that id.
+
+    Null, empty and blank texts have empty sets and are linked with nothing.  Rows without
+    an id take no part: component_id null, kept.  Rows that share an id and a text are one
+    document with one result each; if their texts differ, each text is looked at under the
+    same id.  Other columns are not read.
+    """
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    made = stored(sketches(slim, words), "sketches")
+    named = made.where(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
+    # Equal sets are one: each is represented by its smallest id.
+    reps = stored(
+        named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")),
+        "sets",
+    )
+    clusters = stored(_clusters(reps), "clusters")
+    links = _verified(slim.where(F.col("doc_id").isNotNull()), clusters, words, percent)
+    classes = components(links)
+    labels = reps.select("set_key", "rep").join(
+        classes.select(F.col("node").alias("rep"), "label"), "rep", "left"
+    ).select("set_key", F.coalesce("label", "rep").alias("label"))
+    rows = made.select("doc_id", "n_shingles", "set_key")
+    return (
+        rows.join(labels, "set_key", "left")
+        .select(
+            "doc_id",
+            "n_shingles",
+            F.when(
+                F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")
+            ).alias("component_id"),
+        )
+        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    )

@@ -73,10 +73,10 @@ def write_ids(
 
     Documents are range-partitioned by id, so part n holds smaller ids than part n + 1.
     Null texts count as empty.  Rows without an id come first; rows that share an id stand
-    side by side, ordered by their text.  Other columns are not read.
+    side by side, ordered by a hash of their text.  Other columns are not read.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    by = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
+    by = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ranged = (
         slim.repartitionByRange(*by)
         .sortWithinPartitions(*by)
@@ -106,9 +106,12 @@ def write_ids(
 
         for batch in batches:
             ids_of_docs = batch["doc_id"].astype("Int64")
-            for p, d, text in zip(batch["part"], ids_of_docs, batch["text"], strict=True):
+            encoded = tokenizer.encode_all(batch["text"].tolist())
+            for p, d, text, ids in zip(
+                batch["part"], ids_of_docs, batch["text"], encoded, strict=True
+            ):
                 part = int(p)
-                ids = np.concatenate([tokenizer.encode(text), tail])
+                ids = np.concatenate([ids, tail])
                 size = len(text.encode("utf-8", "replace")) if text else 0
                 rows.append((None if d is pd.NA else int(d), ids, size))
                 held += len(ids)

@@ -11,7 +11,9 @@ from panelloom.llm import (
     bpe_counts,
     licences,
     mixing,
+    near_dedup,
     packed_ids,
+    suffix_dedup,
     topk_cells,
     vantage,
 )
@@ -36,6 +38,10 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_cells.exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_counts.token_counts(
         table(spark, sf_dir, "documents"), vocabulary_path(BYTE_VOCABULARY), limit=1024
@@ -49,6 +55,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op7_vantage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vantage.nearest(table(spark, sf_dir, "embeddings"), k=20, query_every=20)
 
@@ -63,8 +73,10 @@ def op8_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_exact_topk": op2_exact_topk,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_source_mix": op5_source_mix,
+    "op6_near_dedup": op6_near_dedup,
     "op7_vantage_search": op7_vantage_search,
     "op8_packed_ids": op8_packed_ids,
 }

@@ -8,7 +8,7 @@ import xxhash
 from panelloom.llm.common import mixed
 
 # A word cache is emptied at this size; it saves hashing a word again, nothing else.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 

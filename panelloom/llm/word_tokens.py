@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -12,6 +14,8 @@ from panelloom.llm.common import gathered
 CACHE_CHUNKS = 1_000_000
 # Words the library encodes in one call.
 ENCODE_WORDS = 4_000
+# Chunks looked up in one step.
+GROUP_CHUNKS = 50_000
 # A word that ends in a letter, and the punctuation after it: the pre-tokeniser always
 # cuts between the two.
 TAILED = re.compile(rb"(.*[a-z])([!-/:-@\[-`{-~]+)", re.S)
@@ -43,6 +47,7 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.vocabulary = self.tokenizer.get_vocab_size()
         self._reset()
 
@@ -57,25 +62,34 @@ class WordTokenizer:
         # Word 0 has no ids: the tail of a chunk without one.
         self.words[b""] = 0
 
+    def _keep(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n = len(self.words)
+        self.flat = _room(self.flat, self.used + len(ids))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.word_at = _room(self.word_at, n + len(words))
+        self.word_at[n : n + len(words), 0] = self.used + np.cumsum(lengths) - lengths
+        self.word_at[n : n + len(words), 1] = lengths
+        self.words.update(zip(words, range(n, n + len(words)), strict=True))
+        self.used += len(ids)
+
     def _encode_words(self, words: list[bytes]) -> None:
-        for i in range(0, len(words), ENCODE_WORDS):
-            texts = [w.decode("utf-8", "replace") for w in words[i : i + ENCODE_WORDS]]
-            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            ids = np.array(found.ids, np.uint32)
+        # Lower-case ASCII words are one pre-token as they are, and go to the model directly.
+        plain = [w for w in words if w.isalpha()]
+        found = [[t.id for t in self.model.tokenize(w.decode())] for w in plain]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        self._keep(plain, np.array(list(chain.from_iterable(found)), np.uint32), lengths)
+        other = [w for w in words if not w.isalpha()]
+        for i in range(0, len(other), ENCODE_WORDS):
+            some = other[i : i + ENCODE_WORDS]
+            texts = [w.decode("utf-8", "replace") for w in some]
+            encoding = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
             begins = np.cumsum(sizes + 1) - sizes - 1
-            at = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+            at = np.array(encoding.offsets, np.int64).reshape(-1, 2)[:, 0]
             lengths = np.bincount(
                 np.searchsorted(begins, at, side="right") - 1, minlength=len(texts)
             )
-            self.flat = _room(self.flat, self.used + len(ids))
-            self.flat[self.used : self.used + len(ids)] = ids
-            n = len(self.words)
-            self.word_at = _room(self.word_at, n + len(texts))
-            self.word_at[n : n + len(texts), 0] = self.used + np.cumsum(lengths) - lengths
-            self.word_at[n : n + len(texts), 1] = lengths
-            self.words.update(zip(words[i : i + ENCODE_WORDS], range(n, n + len(texts)), strict=True))
-            self.used += len(ids)
+            self._keep(some, np.array(encoding.ids, np.uint32), lengths)
 
     def _learn(self, chunks: list[bytes]) -> None:
         parts = []
@@ -95,20 +109,42 @@ class WordTokenizer:
         self.chunk_at[n : n + len(chunks)] = [(words[a], words[b]) for a, b in parts]
         self.number.update(zip(chunks, range(n, n + len(chunks)), strict=True))
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """Ids of one text (null: empty) as unsigned 32-bit integers."""
-        chunks = (text or "").encode("utf-8", "replace").split()
-        if not chunks:
-            return np.zeros(0, np.uint32)
+    def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text (null: empty) as unsigned 32-bit integers."""
+        group, held = [], 0
+        for text in texts:
+            group.append((text or "").encode("utf-8", "replace").split())
+            held += len(group[-1])
+            if held > GROUP_CHUNKS:
+                yield from self._encode(group)
+                group, held = [], 0
+        yield from self._encode(group)
+
+    def _encode(self, group: list[list[bytes]]) -> Iterator[np.ndarray]:
         if len(self.number) > CACHE_CHUNKS:
             self._reset()
         get = self.number.get
-        numbers = list(map(get, chunks))
-        if None in numbers:
-            self._learn(list(dict.fromkeys(c for c in chunks if c not in self.number)))
-            numbers = list(map(get, chunks))
-        runs = self.word_at[self.chunk_at[np.array(numbers)].ravel()]
-        return self.flat[gathered(runs[:, 0], runs[:, 1])]
+        found = [list(map(get, chunks)) for chunks in group]
+        unknown = {
+            c: None
+            for chunks, numbers in zip(group, found, strict=True)
+            if None in numbers
+            for c, number in zip(chunks, numbers, strict=True)
+            if number is None
+        }
+        if unknown:
+            self._learn(list(unknown))
+        for chunks, numbers in zip(group, found, strict=True):
+            if not chunks:
+                yield np.zeros(0, np.uint32)
+                continue
+            if None in numbers:
+                numbers = list(map(get, chunks))
+            runs = self.word_at[self.chunk_at[np.array(numbers)].ravel()]
+            yield self.flat[gathered(runs[:, 0], runs[:, 1])]
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return next(self.encode_all([text]))
 
 
 def _room(array: np.ndarray, size: int) -> np.ndarray:
