@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -13,11 +12,12 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests on one machine, a local folder is used.
+    Raises where that is unset: a folder of one machine would leave parts of a table where
+    others cannot read them.
     """
     base = spark.conf.get(CHECKPOINT_SETTING, None)
     if base is None:
         base = spark.sparkContext.getConf().get(CHECKPOINT_SETTING)
     if not base:
-        base = tempfile.mkdtemp(prefix="panelloom-")
+        raise ValueError(f"{CHECKPOINT_SETTING} must name a folder that all executors share")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
