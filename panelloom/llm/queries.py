@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelloom.llm import (
     bpe_counts,
+    genetic_packing,
     licences,
     mixing,
     near_dedup,
@@ -70,6 +71,12 @@ def op8_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return genetic_packing.pack_documents(
+        table(spark, sf_dir, "documents"), vocabulary_path(WORD_VOCABULARY), size=2048, end_id=0
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_exact_topk": op2_exact_topk,
@@ -79,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_near_dedup": op6_near_dedup,
     "op7_vantage_search": op7_vantage_search,
     "op8_packed_ids": op8_packed_ids,
+    "op9_genetic_packing": op9_genetic_packing,
 }
 
 ORACLES: dict[str, str] = {
