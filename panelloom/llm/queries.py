@@ -16,6 +16,7 @@ from panelloom.llm import (
     packed_ids,
     suffix_dedup,
     topk_cells,
+    toxicity,
     vantage,
 )
 from panelloom.llm.common import vocabulary_path
@@ -77,6 +78,12 @@ def op9_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_exact_topk": op2_exact_topk,
@@ -87,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_vantage_search": op7_vantage_search,
     "op8_packed_ids": op8_packed_ids,
     "op9_genetic_packing": op9_genetic_packing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
