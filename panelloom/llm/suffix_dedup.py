@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -280,20 +281,20 @@ def _shared_anchors(docs: DataFrame, n: int) -> DataFrame:
             alone = ~many
             buckets = ((gram[alone] >> np.uint64(8)) % np.uint64(n)).astype(np.int64)
             for bucket, g, d, m in _dealt(buckets, gram[alone], doc[alone], number[alone]):
-                used, of = np.unique(d, return_inverse=True)
-                body = np.column_stack([of.astype(np.uint32), m])
-                rows.append(_row(bucket, 0, g, body, keys[used]))
+                used, counts = np.unique(d, return_counts=True)
+                tail = np.column_stack([keys[used], counts])
+                rows.append(_row(bucket, 0, g, m, tail))
             yield _frame(rows)
 
     def settle(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [tuple(r) for r in pdf[pdf["kind"] == 1].itertuples(index=False)]
         grams, texts, owners, numbers = [], [], [], []
         for r in pdf[pdf["kind"] == 0].itertuples(index=False):
-            body = np.frombuffer(r.body, np.uint32).reshape(-1, 2)
-            owner = np.frombuffer(r.tail, np.int64).reshape(-1, 2)[body[:, 0]]
+            tail = np.frombuffer(r.tail, np.int64).reshape(-1, 3)
+            owner = np.repeat(tail[:, :2], tail[:, 2], axis=0)
             grams.append(np.frombuffer(r.head, np.uint64))
             owners.append(owner)
-            numbers.append(body[:, 1])
+            numbers.append(np.frombuffer(r.body, np.uint32))
             texts.append(owner[:, 1])
         asked = sum(map(len, grams))
         for r in pdf[pdf["kind"] == 2].itertuples(index=False):
@@ -362,6 +363,7 @@ def _repeats(docs: DataFrame, shared: DataFrame, splitters: np.ndarray, n: int)
     """doc_id, digest, spans: bytes to remove (pairs of signed 64-bit), maximal spans."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shrink = zstandard.ZstdCompressor(level=3).compress
         for keys, texts, found in _chunks(batches, more=True):
             seen: dict[tuple[bytes, int], int] = {}
             strings: list[tuple[bytes, int]] = []
@@ -404,7 +406,7 @@ def _repeats(docs: DataFrame, shared: DataFrame, splitters: np.ndarray, n: int)
                     places = at[np.repeat(starts[some], counts[some]) + ragged_positions(counts[some])]
                     head = np.column_stack([size, counts[some].astype(np.uint32)]).astype(np.uint32)
                     tail = np.column_stack([keys[places[:, 0]], places[:, 1]])
-                    rows.append((bucket, 0, head.tobytes(), text, tail.tobytes()))
+                    rows.append((bucket, 0, head.tobytes(), shrink(text), tail.tobytes()))
             if rows:
                 yield _frame(rows)
 
@@ -412,7 +414,8 @@ def _repeats(docs: DataFrame, shared: DataFrame, splitters: np.ndarray, n: int)
         rows = [tuple(r) for r in pdf[pdf["kind"] == 1].itertuples(index=False)]
         sent = pdf[pdf["kind"] == 0]
         if len(sent):
-            data = np.frombuffer(b"".join(sent["body"]), np.uint8)
+            grow = zstandard.ZstdDecompressor().decompress
+            data = np.frombuffer(b"".join(map(grow, sent["body"])), np.uint8)
             head = np.concatenate([np.frombuffer(h, np.uint32) for h in sent["head"]])
             tail = np.concatenate([np.frombuffer(t, np.int64) for t in sent["tail"]])
             size, left, count = head.reshape(-1, 3).astype(np.int64).T
