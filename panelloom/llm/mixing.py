@@ -74,6 +74,66 @@ def source_targets(
     )
 
 
+def order_key(seed: str) -> Column:
+    """Place of a document in the seeded order of its source; equal only for equal id and
+    text."""
+    return F.concat(seeded(F.col("doc_id"), seed), F.hex(F.xxhash64("text")))
+
+
+def cuts(sizes: DataFrame, weights: Sequence[float], max_epochs: float) -> DataFrame:
+    """How far the fractional repetition of each source reaches, stored: source,
+    source_size, target, copies (whole repetitions), cut (the key at which it ends; null if
+    it takes all), rest (words of each document with that key), all (it takes all).
+
+    ``sizes``: source, size, key of every document, stored.
+    """
+    targets = stored(source_targets(sizes, weights, max_epochs), "targets")
+    order = [F.col("source").isNull(), F.coalesce("source", F.lit(""))]
+    # Documents with one key are equal and count as one.
+    units = sizes.where("size > 0").groupBy("source", "key").agg(
+        F.sum("size").alias("_words"), F.count(F.lit(1)).alias("_equal")
+    )
+    ordered = running_totals(units, [*order, F.col("key")], "_words", "_before")
+    # Words of all sources that stand before a source in the same order.
+    bases = running_totals(targets, order, "source_size", "_base")
+    total, target = F.col("source_size"), F.col("target")
+    whole = F.when(total > 0, F.floor(target / total)).otherwise(F.lit(0)).cast("long")
+    plan = stored(
+        bases.withColumn("copies", whole).withColumn(
+            "_wanted", F.round("target").cast("long") - F.col("copies") * total
+        ),
+        "plan",
+    )
+    named = plan.withColumnRenamed("source", "_source")
+    left = F.col("_wanted") - (F.col("_before") - F.col("_base"))
+    ends = (
+        ordered.join(named, F.col("source").eqNullSafe(F.col("_source")))
+        .where((left >= 0) & (left < F.col("_words")))
+        .select(
+            F.col("source").alias("_source"),
+            F.col("key").alias("cut"),
+            F.floor(left / F.col("_equal")).cast("long").alias("rest"),
+        )
+    )
+    return stored(
+        plan.join(ends, F.col("source").eqNullSafe(F.col("_source")), "left").select(
+            "source", "source_size", "target", "copies", "cut", "rest",
+            (F.col("_wanted") >= F.col("source_size")).alias("all"),
+        ),
+        "cuts",
+    )
+
+
+def extra_words(key: Column, size: Column) -> Column:
+    """Words the fractional repetition takes of a document."""
+    return (
+        F.when(F.col("all") | (key < F.col("cut")), size)
+        .when(key == F.col("cut"), F.col("rest"))
+        .otherwise(F.lit(0))
+        .cast("long")
+    )
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = (5, 2, 1),
@@ -85,52 +145,70 @@ def mix(
     repetition), taken.
 
     In a seeded order of each source's documents, the words of the fractional repetition
-    come from the first documents; only the one where the fraction ends is taken in part.
-    So a source's taken words are its target rounded to a word.  Null texts and texts
-    without words have size 0 and give nothing.  Null ``source`` is a source of its own;
-    null ``doc_id`` is an id like another.  Rows that repeat are documents each.
+    come from the first documents; only the one where the fraction ends is taken in part
+    (documents equal in id and text share that part).  So a source's taken words are its
+    target rounded to a word.  Null texts and texts without words have size 0 and give
+    nothing.  Null ``source`` is a source of its own; null ``doc_id`` is an id like another.
+    Rows that repeat are documents each.
     """
-    sizes = stored(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes"
+    sizes = _sizes(docs, seed)
+    plan = cuts(sizes, weights, max_epochs).withColumnRenamed("source", "_source")
+    joined = sizes.join(plan, F.col("source").eqNullSafe(F.col("_source"))).withColumn(
+        "extra", extra_words(F.col("key"), F.col("size"))
     )
-    return mix_sizes(sizes, weights, max_epochs, seed)
+    return joined.select(
+        "doc_id", "source", "size", "source_size", "target", "copies", "extra",
+        (F.col("copies") * F.col("size") + F.col("extra")).alias("taken"),
+    )
+
 
+def _sizes(docs: DataFrame, seed: str) -> DataFrame:
+    return stored(
+        docs.select(
+            "doc_id", "source", word_count(F.col("text")).alias("size"),
+            F.coalesce(order_key(seed), seeded(F.col("doc_id"), seed)).alias("key"),
+        ),
+        "sizes",
+    )
 
-def mix_sizes(
-    sizes: DataFrame, weights: Sequence[float], max_epochs: float, seed: str = SEED
+
+def mixed_documents(
+    docs: DataFrame,
+    weights: Sequence[float] = (5, 2, 1),
+    max_epochs: float = 3,
+    seed: str = SEED,
 ) -> DataFrame:
-    """``mix`` for a stored table of doc_id, source, size."""
-    targets = stored(source_targets(sizes, weights, max_epochs), "targets")
-    ordered = running_totals(
-        sizes,
-        [
-            F.col("source").isNull(),
-            F.coalesce("source", F.lit("")),
-            seeded(F.col("doc_id"), seed),
-            F.col("doc_id"),
-            F.col("size"),
-        ],
-        "size",
-        "_before",
+    """``docs`` as the mix takes them: whole repetitions as repeated rows, the fractional
+    one as further rows, the last of them cut after the words it takes.  All columns stay;
+    ``n_chars`` follows a cut text.  The texts are not shuffled."""
+    plan = cuts(_sizes(docs, seed), weights, max_epochs)
+    names = {c: f"_mix_{c}" for c in plan.columns}
+    plan = plan.select(*[F.col(c).alias(n) for c, n in names.items()])
+    size = word_count(F.col("text"))
+    key = F.coalesce(order_key(seed), seeded(F.col("doc_id"), seed))
+    extra = (
+        F.when(F.col("_mix_all") | (key < F.col("_mix_cut")), size)
+        .when(key == F.col("_mix_cut"), F.col("_mix_rest"))
+        .otherwise(F.lit(0))
     )
-    # Words of all sources that stand before a source in the same order.
-    bases = running_totals(
-        targets, [F.col("source").isNull(), F.coalesce("source", F.lit(""))],
-        "source_size", "_base",
-    ).withColumnRenamed("source", "_source")
-    joined = ordered.join(bases, F.col("source").eqNullSafe(F.col("_source")))
-    size, total, target = F.col("size"), F.col("source_size"), F.col("target")
-    whole = F.when(total > 0, F.floor(target / total)).otherwise(F.lit(0)).cast("long")
-    wanted = F.round(target).cast("long") - whole * total
-    left = wanted - (F.col("_before") - F.col("_base"))
-    extra = F.greatest(F.lit(0).cast("long"), F.least(left, size))
-    return joined.select(
-        "doc_id",
-        "source",
-        "size",
-        "source_size",
-        "target",
-        whole.alias("copies"),
-        extra.alias("extra"),
-        (whole * size + extra).alias("taken"),
+    taken = (
+        docs.join(plan, F.col("source").eqNullSafe(F.col("_mix_source")))
+        .withColumn("_size", size)
+        .withColumn("_extra", extra)
+        .where("_size > 0")
+    )
+    rows = F.col("_mix_copies") + F.when(F.col("_extra") > 0, 1).otherwise(0)
+    repeated = taken.where(rows > 0).withColumn(
+        "_copy", F.explode(F.sequence(F.lit(1).cast("long"), rows.cast("long")))
+    )
+    part = (F.col("_copy") > F.col("_mix_copies")) & (F.col("_extra") < F.col("_size"))
+    words = F.slice(
+        F.regexp_extract_all("text", F.lit(f"({WORD})")), F.lit(1), F.col("_extra").cast("int")
+    )
+    out = repeated.withColumn(
+        "text", F.when(part, F.array_join(words, " ")).otherwise(F.col("text"))
     )
+    if "n_chars" in docs.columns:
+        n = F.when(part, F.length("text")).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", n.cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)

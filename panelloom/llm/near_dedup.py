@@ -21,6 +21,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from panelloom.llm.common import mixed, stored
 from panelloom.llm.connected import components
@@ -172,7 +173,8 @@ def _verified(docs: DataFrame, clusters: DataFrame, words: int, percent: int) ->
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .select(F.col("rep").alias("doc_id"), "cluster", "blocks", "block")
     )
-    texts = docs.select("doc_id", "text").join(placed, "doc_id")
+    # Texts are dealt by id at every size: a plan that only small inputs get tells nothing.
+    texts = docs.select("doc_id", "text").join(placed.hint("merge"), "doc_id")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(words)
@@ -246,3 +248,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         )
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+
+
+def first_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each class of near duplicates, the one with the
+    smallest doc_id; all columns stay.  Of rows that share an id one stays; rows without an
+    id all do."""
+    classes = near_duplicates(docs, words, percent)
+    ids = classes.where(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    named = docs.where(F.col("doc_id").isNotNull())
+    place = F.row_number().over(
+        Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    )
+    first = (
+        named.join(ids, "doc_id", "left_semi")
+        .withColumn("_place", place)
+        .where(F.col("_place") == 1)
+        .select(*docs.columns)
+    )
+    return first.union(docs.where(F.col("doc_id").isNull()))
