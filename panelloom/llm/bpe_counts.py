@@ -22,7 +22,7 @@ from panelloom.llm.common import ragged_positions
 # Fixed value: how byte-level BPE cuts a text before merging.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Distinct pre-tokens whose counts are kept; emptied at this size.
-CACHE_TOKENS = 1_000_000
+CACHE_TOKENS = 600_000
 # Symbols merged in one array at most, unless one pre-token alone has more.
 BATCH_SYMBOLS = 1 << 21
 NONE = np.int64(1) << 40

@@ -25,6 +25,7 @@ from panelloom.llm.word_tokens import word_tokenizer
 
 SHARD_PIECES = 2000
 ISLANDS = 2
+TASK_ISLANDS = 8
 EPOCHS = 2
 GENERATIONS = 3
 POPULATION = 4
@@ -210,6 +211,8 @@ def _sharded(pieces: DataFrame, shard_pieces: int, base: int) -> DataFrame:
 
 def _packed(shards: DataFrame, size: int) -> DataFrame:
     """The best bins of every shard: shard, owners (bin number of each piece)."""
+    # An island costs its task seconds, whatever its bytes, so tasks are set by islands.
+    tasks = max(1, math.ceil(shards.count() * ISLANDS / TASK_ISLANDS))
     islands = shards.select(
         "shard", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island"),
         F.col("length").alias("lengths"),
@@ -233,8 +236,7 @@ def _packed(shards: DataFrame, size: int) -> DataFrame:
 
         return evolve
 
-    # A task takes few islands, whatever the size of their rows.
-    now = islands.repartition("shard", "island").mapInPandas(epoch(0), POPULATION_SCHEMA)
+    now = islands.repartition(tasks, "shard", "island").mapInPandas(epoch(0), POPULATION_SCHEMA)
     for number in range(1, EPOCHS):
         now = stored(now, f"epoch{number}")
         # The best of an island replaces the worst of the next.
@@ -251,6 +253,7 @@ def _packed(shards: DataFrame, size: int) -> DataFrame:
                     "elite", F.slice("people", 1, F.greatest(F.size("people") - 1, F.lit(1)))
                 ).alias("people"),
             )
+            .repartition(tasks, "shard", "island")
             .mapInPandas(epoch(number), POPULATION_SCHEMA)
         )
     best = F.struct(

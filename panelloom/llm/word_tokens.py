@@ -11,7 +11,7 @@ import numpy as np
 from panelloom.llm.common import gathered
 
 # Distinct chunks kept; emptied at this size.  It saves encoding a chunk again.
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 400_000
 # Words the library encodes in one call.
 ENCODE_WORDS = 4_000
 # Chunks looked up in one step.
