@@ -10,15 +10,14 @@ import numpy as np
 
 from panelloom.llm.common import gathered
 
-# Distinct chunks kept; emptied at this size.  It saves encoding a chunk again.
-CACHE_CHUNKS = 400_000
+# Distinct words kept; emptied at this size.  It saves encoding a word again.
+CACHE_WORDS = 500_000
 # Words the library encodes in one call.
 ENCODE_WORDS = 4_000
-# Chunks looked up in one step.
-GROUP_CHUNKS = 50_000
-# A word that ends in a letter, and the punctuation after it: the pre-tokeniser always
-# cuts between the two.
-TAILED = re.compile(rb"(.*[a-z])([!-/:-@\[-`{-~]+)", re.S)
+# Words looked up in one step.
+GROUP_WORDS = 50_000
+# Between a letter and the punctuation that ends a chunk the pre-tokeniser always cuts.
+TAIL = re.compile(rb"(?<=[a-z])[!-/:-@\[-`{-~]+(?=\s|$)")
 MARK = b"<|"
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -32,13 +31,14 @@ def word_tokenizer(path: str) -> WordTokenizer:
 
 
 class WordTokenizer:
-    """Encodes texts chunk by chunk, a chunk being a run without ASCII white space.
-
-    The tokenizer's pre-tokens never reach over white space and its normaliser looks at no
-    neighbours over it, so the ids of a text are those of its chunks one after another.
-    A chunk is a lower-cased word and the punctuation after it; each distinct word is
-    encoded by the library once, and texts are assembled with numpy.  Chunks that may hold
-    a special string go to the library as they are.
+    """Encodes texts word by word.
+
+    The tokenizer's pre-tokens never reach over white space and its normaliser, which makes
+    letters small, looks at no neighbours over it.  So the ids of a text are those of its
+    runs without ASCII white space, and those of a run are the ids of its lower-cased word
+    and of the punctuation at its end.  Each distinct word is encoded by the library once;
+    texts are assembled with numpy.  Runs that may hold a special string go to the library
+    as they are.
     """
 
     def __init__(self, path: str):
@@ -53,32 +53,28 @@ class WordTokenizer:
 
     def _reset(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.words: dict[bytes, int] = {}
-        # Words: where their ids lie in flat.  Chunks: their two words, or one twice.
+        # Where the ids of a word lie in flat, and how many they are.
         self.word_at = np.zeros((1024, 2), np.int64)
-        self.chunk_at = np.zeros((1024, 2), np.int64)
         self.flat = np.zeros(4096, np.uint32)
         self.used = 0
-        # Word 0 has no ids: the tail of a chunk without one.
-        self.words[b""] = 0
 
     def _keep(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
-        n = len(self.words)
+        n = len(self.number)
         self.flat = _room(self.flat, self.used + len(ids))
         self.flat[self.used : self.used + len(ids)] = ids
         self.word_at = _room(self.word_at, n + len(words))
         self.word_at[n : n + len(words), 0] = self.used + np.cumsum(lengths) - lengths
         self.word_at[n : n + len(words), 1] = lengths
-        self.words.update(zip(words, range(n, n + len(words)), strict=True))
+        self.number.update(zip(words, range(n, n + len(words)), strict=True))
         self.used += len(ids)
 
-    def _encode_words(self, words: list[bytes]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         # Lower-case ASCII words are one pre-token as they are, and go to the model directly.
-        plain = [w for w in words if w.isalpha()]
+        plain = [w for w in words if w.isalpha() and w.islower()]
         found = [[t.id for t in self.model.tokenize(w.decode())] for w in plain]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         self._keep(plain, np.array(list(chain.from_iterable(found)), np.uint32), lengths)
-        other = [w for w in words if not w.isalpha()]
+        other = [w for w in words if not (w.isalpha() and w.islower())]
         for i in range(0, len(other), ENCODE_WORDS):
             some = other[i : i + ENCODE_WORDS]
             texts = [w.decode("utf-8", "replace") for w in some]
@@ -91,62 +87,54 @@ class WordTokenizer:
             )
             self._keep(some, np.array(encoding.ids, np.uint32), lengths)
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        parts = []
-        for chunk in chunks:
-            if MARK in chunk:
-                parts.append((chunk, b""))
-                continue
-            low = chunk.lower()
-            tailed = TAILED.fullmatch(low)
-            parts.append(tailed.groups() if tailed else (low, b""))
-        words = self.words
-        self._encode_words(
-            list(dict.fromkeys(w for pair in parts for w in pair if w not in words))
-        )
-        n = len(self.number)
-        self.chunk_at = _room(self.chunk_at, n + len(chunks))
-        self.chunk_at[n : n + len(chunks)] = [(words[a], words[b]) for a, b in parts]
-        self.number.update(zip(chunks, range(n, n + len(chunks)), strict=True))
-
     def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text (null: empty) as unsigned 32-bit integers."""
         group, held = [], 0
         for text in texts:
-            group.append((text or "").encode("utf-8", "replace").split())
+            group.append(split_words((text or "").encode("utf-8", "replace")))
             held += len(group[-1])
-            if held > GROUP_CHUNKS:
+            if held > GROUP_WORDS:
                 yield from self._encode(group)
                 group, held = [], 0
         yield from self._encode(group)
 
     def _encode(self, group: list[list[bytes]]) -> Iterator[np.ndarray]:
-        if len(self.number) > CACHE_CHUNKS:
+        if len(self.number) > CACHE_WORDS:
             self._reset()
         get = self.number.get
-        found = [list(map(get, chunks)) for chunks in group]
+        found = [list(map(get, words)) for words in group]
         unknown = {
-            c: None
-            for chunks, numbers in zip(group, found, strict=True)
+            w: None
+            for words, numbers in zip(group, found, strict=True)
             if None in numbers
-            for c, number in zip(chunks, numbers, strict=True)
+            for w, number in zip(words, numbers, strict=True)
             if number is None
         }
         if unknown:
             self._learn(list(unknown))
-        for chunks, numbers in zip(group, found, strict=True):
-            if not chunks:
+        for words, numbers in zip(group, found, strict=True):
+            if not words:
                 yield np.zeros(0, np.uint32)
                 continue
             if None in numbers:
-                numbers = list(map(get, chunks))
-            runs = self.word_at[self.chunk_at[np.array(numbers)].ravel()]
+                numbers = list(map(get, words))
+            runs = self.word_at[np.array(numbers)]
             yield self.flat[gathered(runs[:, 0], runs[:, 1])]
 
     def encode(self, text: str | None) -> np.ndarray:
         return next(self.encode_all([text]))
 
 
+def split_words(text: bytes) -> list[bytes]:
+    """Words and trailing punctuation of a text, in order."""
+    if MARK not in text:
+        return TAIL.sub(rb" \g<0>", text.lower()).split()
+    out = []
+    for chunk in text.split():
+        out += [chunk] if MARK in chunk else split_words(chunk)
+    return out
+
+
 def _room(array: np.ndarray, size: int) -> np.ndarray:
     """``array``, grown to twice its length until ``size`` rows fit."""
     while len(array) < size:
