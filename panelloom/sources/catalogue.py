@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,9 @@ from panelloom.spec import PanelSpec
 
 Reader = Callable[[str], DataFrame]
 
+ABSENT = ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND")
+log = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class SourceSpec:
@@ -52,6 +56,19 @@ def load_measure(
     return wide_to_panel(raw, spec, source.value, codes)
 
 
+def reason(error: AnalysisException | ValueError, source: SourceSpec) -> str:
+    """Why a variant is passed over, also logged: its table is absent or has another shape.
+
+    Any other failure, such as one of a job, is raised: another source must not stand in
+    for one that was there.
+    """
+    if isinstance(error, AnalysisException) and error.getCondition() not in ABSENT:
+        raise error
+    text = f"{source.table}: {error}"
+    log.warning("source passed over; %s", text)
+    return text
+
+
 def first_working(
     read: Reader,
     variants: Sequence[SourceSpec],
@@ -63,8 +80,8 @@ def first_working(
     for source in variants:
         try:
             return load_measure(read, source, spec, codes)
-        except (PySparkException, ValueError) as error:
-            errors.append(f"{source.table}: {error}")
+        except (AnalysisException, ValueError) as error:
+            errors.append(reason(error, source))
     raise ValueError("; ".join(errors))
 
 
@@ -83,8 +100,8 @@ def load_with_fallback(
     for priority, source in enumerate(variants):
         try:
             part = load_measure(read, source, spec, codes)
-        except (PySparkException, ValueError) as error:
-            errors.append(f"{source.table}: {error}")
+        except (AnalysisException, ValueError) as error:
+            errors.append(reason(error, source))
             continue
         parts.append(
             part.withColumn(source_column, F.lit(source.dataset or source.table)).withColumn(

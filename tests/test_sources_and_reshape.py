@@ -31,7 +31,9 @@ from panelloom.operators.reshape import (
 )
 from panelloom.operators.slicing import default_slice, filter_panel, keep_finite
 from panelloom.plans import food_panel
-from panelloom.sources.catalogue import first_working, load_measure
+from panelloom.sources.catalogue import (
+    SourceSpec, first_working, load_measure, load_with_fallback,
+)
 from panelloom.sources.sinks import write_report
 from panelloom.sources.tables import (
     EXCLUSION_SCHEMA,
@@ -97,6 +99,29 @@ def test_profile_errors_are_distinct(spark):
         first_working(lambda _: raw, [food_panel.MEDIAN_INCOME], SPEC)
 
 
+def test_failing_jobs_are_not_passed_over(spark):
+    raw = spark.createDataFrame([("PL", 1.0)], [GEO, "2024"])
+    broken = raw.withColumn(GEO, F.raise_error(F.lit("disk gone")).cast("string"))
+    tables = {"first": broken, "second": raw}
+    variants = [SourceSpec("first", "value"), SourceSpec("second", "value")]
+    with pytest.raises(Exception, match="disk gone"):
+        first_working(tables.__getitem__, variants, SPEC)
+    with pytest.raises(Exception, match="disk gone"):
+        load_with_fallback(tables.__getitem__, variants, SPEC, "origin")
+
+
+def test_absent_tables_are_passed_over(spark, tmp_path, caplog):
+    raw = spark.createDataFrame([("PL", 1.0)], [GEO, "2024"])
+    raw.write.parquet(str(tmp_path / "second"))
+
+    def read(name):
+        return spark.read.parquet(str(tmp_path / name))
+
+    variants = [SourceSpec("first", "value"), SourceSpec("second", "value")]
+    assert first_working(read, variants, SPEC).count() == 1
+    assert "first" in caplog.text
+
+
 def test_reshape_rejects_duplicate_keys(spark):
     raw = spark.createDataFrame([("A", "PL", 1.0), ("B", "PL", 2.0)], ["variant", GEO, "2024"])
     with pytest.raises(ValueError, match="not unique.*PL"):
