@@ -1,7 +1,7 @@
 """Licence recognition by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences; sentences that may speak of a licence are normalised and
-mapped to identifiers of known licence sentences; the sequence of identifiers is matched
+A text is cut into sentences, which are normalised and mapped to identifiers of known
+licence sentences; unknown ones count if they may speak of a licence.  The sequence of identifiers is matched
 against ordered rules.  A rule that matches uses up its identifiers, so a licence of
 several sentences is not reported again by the rules for its parts.
 """
@@ -88,7 +88,27 @@ RULES: list[tuple[str, list[str]]] = [
     ("Declared-SPDX", ["spdx"]),
     ("Proprietary", ["all_rights"]),
 ]
-# A line that does not end a sentence and goes on in lower case is joined to the next.
+# Single words of which every known sentence and every mark has one.  White space and signs
+# between words do not matter to them, so they can be looked for in raw text.
+KEYS = [
+    "licen", "copyright", "permission", "warrant", "redistribut", "spdx", "domain", "commons",
+    "cc", "rights", "provided", "liable", "endorse", "received",
+]
+# Capitals that begin a sentence of their own rather than go on with the line before.
+BEGINS = (
+    r"Copyright|SPDX|Permission|Licen[cs]ed|Released|Distributed|Available|Dedicated|Placed"
+    r"|All rights|ALL RIGHTS|Redistribution|Neither|The above|This |THIS SOFTWARE|THE SOFTWARE IS"
+    r"|IN NO EVENT"
+)
+# A line that does not end a sentence is joined to the next; after ';' and ':' only if that
+# one goes on in lower case.
+JOINED = (
+    r"(?:(?<=[^.!?:;\s])|(?<=\b[Vv]\.)|(?<=\b[Vv]ers?\.)|(?<=[:;])(?=[ \t]*\r?\n[ \t#/*;%-]*[a-z]))"
+    r"[ \t]*\r?\n[ \t]*[#/*;%-]*[ \t]*(?=[\"'(<]*[\p{L}\p{N}])(?!" + BEGINS + ")"
+)
+# Abbreviations of "version" end no sentence.
+ENDS = r"(?<!\b[Vv])(?<!\b[Vv]er)(?<!\b[Vv]ers)[.!?]+[ \t]+|[.!?:;]*\r?\n"
+# The SQL's own cut: lines joined before lower case only, sentences cut at ';' and ':' too.
 WRAPPED = r"([^.!?:;\n])\r?\n[ \t]*[#/*;%-]*[ \t]*([a-z0-9])"
 SENTENCE_END = r"[.!?:;]+[ \t]+|[.!?:;]*\r?\n"
 UNKNOWN = "unknown"
@@ -102,6 +122,14 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(words, " +", " "))
 
 
+def has_key(text: Column) -> Column:
+    """Whether lower-case ``text`` holds any of the keys."""
+    found = F.lit(False)
+    for key in KEYS:
+        found = found | text.contains(key)
+    return found
+
+
 def is_marked(text: Column) -> Column:
     """Whether lower-case ``text`` holds any of the marks."""
     found = F.lit(False)
@@ -160,13 +188,18 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    # Texts without a mark, nearly all, are not cut into sentences.
-    cut = F.split(F.regexp_replace("text", WRAPPED, "$1 $2"), SENTENCE_END)
-    marked = F.filter(F.transform(cut, normalised), is_marked)
+    # Texts without a key, and sentences without one, cannot hold what is looked for.
+    cut = F.split(F.regexp_replace("text", JOINED, " "), ENDS)
+    parts = F.filter(F.transform(cut, normalised), has_key)
+    told = F.transform(
+        parts,
+        lambda s: F.struct(identifier(s).alias("id"), is_marked(s).alias("marked")),
+    )
+    kept = F.filter(told, lambda t: (t["id"] != UNKNOWN) | t["marked"])
     none = F.array().cast("array<string>")
     found = slim.select(
         "doc_id",
-        F.when(is_marked(F.lower("text")), F.transform(marked, identifier))
+        F.when(has_key(F.lower("text")), F.transform(kept, lambda t: t["id"]))
         .otherwise(none)
         .alias("sentences"),
     )
@@ -183,7 +216,8 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def licence_sql(table: str = "documents") -> str:
-    """The scan in DuckDB SQL, arrays joined by blanks."""
+    """The scan in DuckDB SQL, arrays joined by blanks; its cut into sentences (WRAPPED,
+    SENTENCE_END) and its marks lose wrapped and joined notices that the scan finds."""
 
     def quoted(text: str) -> str:
         return "'" + text.replace("'", "''") + "'"
