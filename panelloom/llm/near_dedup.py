@@ -32,6 +32,8 @@ from panelloom.llm.shingles import Shingler
 BANDS, BAND_ROWS = 40, 6
 # Members of a cluster compared with each other in one task are two blocks of this size.
 BLOCK = 128
+# Their sets take about so many bytes at most, but for single sets that are larger.
+BLOCK_BYTES = 8 << 20
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 ROUND_STEP = np.uint64(0x9E3779B97F4A7C15)
 # Columns of the membership matrix at a time.
@@ -164,21 +166,49 @@ def _clusters(reps: DataFrame) -> DataFrame:
     )
 
 
-def _verified(docs: DataFrame, clusters: DataFrame, words: int, percent: int) -> DataFrame:
+def once_each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (doc_id, text) without those the same task has had before."""
+    seen: set[tuple[int, bytes]] = set()
+    for batch in batches:
+        new = []
+        for i, text in zip(batch["doc_id"], batch["text"], strict=True):
+            data = (text or "").encode("utf-8", "surrogatepass")
+            key = (i, xxhash.xxh3_128_digest(data))
+            new.append(key not in seen)
+            seen.add(key)
+        yield batch[np.array(new, dtype=bool)]
+
+
+def _verified(
+    docs: DataFrame, reps: DataFrame, clusters: DataFrame, words: int, percent: int
+) -> DataFrame:
     """Edges (a, b) that span the linked documents of every cluster."""
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    weighed = clusters.join(
+        reps.groupBy("rep").agg((8 * F.sum("n_shingles")).alias("bytes")), "rep"
+    )
+    sizes = weighed.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")
+    )
     placed = (
         clusters.join(sizes, "cluster")
-        .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+        .withColumn(
+            "blocks",
+            F.least(
+                F.col("n"),
+                F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)),
+            ).cast("int"),
+        )
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .select(F.col("rep").alias("doc_id"), "cluster", "blocks", "block")
     )
+    # Repeated rows go before the exchange, so that what meets is one row a task at most.
+    slim = docs.select("doc_id", "text").mapInPandas(once_each, "doc_id long, text string")
     # Texts are dealt by id at every size: a plan that only small inputs get tells nothing.
-    texts = docs.select("doc_id", "text").join(placed.hint("merge"), "doc_id")
+    texts = slim.join(placed.hint("merge"), "doc_id")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(words)
-        for batch in batches:
+        for batch in once_each(batches):
             out = batch[["doc_id", "cluster", "blocks", "block"]].copy()
             out["shingles"] = [shingler.hashes(t).tobytes() for t in batch["text"]]
             yield out
@@ -199,6 +229,8 @@ def _verified(docs: DataFrame, clusters: DataFrame, words: int, percent: int) ->
     )
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        # A set is here once, even where tasks before had a repeated row each.
+        pdf = pdf.drop_duplicates(["doc_id", "shingles"])
         pdf = pdf.sort_values(["block", "doc_id"], kind="stable")
         found = [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
         ids = pdf["doc_id"].to_numpy(np.int64)
@@ -227,11 +259,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     named = made.where(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
     # Equal sets are one: each is represented by its smallest id.
     reps = stored(
-        named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")),
+        named.groupBy("set_key").agg(
+            F.min("doc_id").alias("rep"), F.min("bands").alias("bands"),
+            F.min("n_shingles").alias("n_shingles"),
+        ),
         "sets",
     )
     clusters = stored(_clusters(reps), "clusters")
-    links = _verified(slim.where(F.col("doc_id").isNotNull()), clusters, words, percent)
+    links = _verified(slim.where(F.col("doc_id").isNotNull()), reps, clusters, words, percent)
     classes = components(links)
     labels = reps.select("set_key", "rep").join(
         classes.select(F.col("node").alias("rep"), "label"), "rep", "left"

@@ -58,8 +58,8 @@ def quantised(vectors: np.ndarray) -> np.ndarray:
 
 
 def top_in_shard(k: int):
-    def best(ids, matrix, query_ids, asked) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        copies = Copies(ids, matrix, k)
+    def best(ids, counts, matrix, query_ids, asked) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        copies = Copies(ids, counts, matrix, k)
         points = copies.matrix
         # Where sums might round, bounds are widened and scores are taken as integers.
         largest = float(np.abs(points).max(initial=0)) * float(np.abs(asked).max(initial=0))

@@ -177,15 +177,21 @@ def fit_curve(rows: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, ...]:
     return mean, scale, weights
 
 
-def fit(texts: list[str], labels: list[int]) -> Model | float:
+def fit(
+    texts: list[str], labels: list[int], times: tuple[float, float] = (1.0, 1.0)
+) -> Model | float:
     """A model, or the share of toxic texts where there are not enough of both kinds.
 
+    ``times``: how many labels one ordinary and one toxic text of the sample stand for.
+    Scores are those of the share of toxic labels before sampling.
+
     A fifth of the texts is kept from the dictionaries, in turn, and gives the evidence the
     curve is fitted on; the final dictionaries are made from all.
     """
     y = np.array(labels)
     if len(y) == 0 or min((y == 1).sum(), (y == 0).sum()) < 2:
-        return float((y == 1).mean()) if len(y) else 0.0
+        toxic, ordinary = times[1] * (y == 1).sum(), times[0] * (y == 0).sum()
+        return float(toxic / (toxic + ordinary)) if len(y) else 0.0
     # Copies of a text fall into one fold.
     fold = np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "replace")) % FOLDS for t in texts])
     blank = np.zeros(3)
@@ -199,7 +205,10 @@ def fit(texts: list[str], labels: list[int]) -> Model | float:
     contents = train_dictionaries(
         [t for t, v in zip(texts, y) if v == 0], [t for t, v in zip(texts, y) if v == 1]
     )
-    return Model(*contents, *fit_curve(rows, y.astype(float)))
+    mean, scale, weights = fit_curve(rows, y.astype(float))
+    # Sampling the kinds unequally shifts the intercept of the curve and nothing else.
+    weights[0] += math.log(times[1] / times[0])
+    return Model(*contents, mean, scale, weights)
 
 
 def remainder(doc_id: Column) -> Column:
@@ -210,7 +219,8 @@ def remainder(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame) -> Model | float:
     """A model from the labelled documents that are not held out.
 
-    The sample is bounded: TRAIN_TOXIC and TRAIN_ORDINARY texts of at most TRAIN_BYTES.
+    The sample is bounded: TRAIN_TOXIC and TRAIN_ORDINARY texts of at most TRAIN_BYTES;
+    the curve is corrected for the share of each kind that is taken.
     Labels of a document that disagree, and null ones, do not count.
     """
     marks = (
@@ -233,10 +243,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | float:
             .limit(most)
         )
         parts.append(some)
+    total = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
+    times = tuple(
+        max(1.0, total.get(kind, 0) / most) for kind, most in ((0, TRAIN_ORDINARY), (1, TRAIN_TOXIC))
+    )
     sample = parts[0].union(parts[1])
     rows = texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
-    return fit(rows["text"].tolist(), rows["toxic"].tolist())
+    return fit(rows["text"].tolist(), rows["toxic"].tolist(), times)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -72,6 +72,9 @@ class Search:
         self.found = np.zeros((len(queries), 0), np.int64)
         self.dist = np.zeros((len(queries), 0))
         self.norms = np.einsum("ij,ij->i", points, points)
+        # A distance may be off by the root of the rounding of its square.
+        square = np.einsum("ij,ij->i", queries, queries) + self.norms.max(initial=0.0)
+        self.slack = 1e-7 * np.sqrt(square)
         self.read = 0
         self.found = np.full((len(queries), k), -1, np.int64)
         self.dist = np.full((len(queries), k), np.inf)
@@ -92,7 +95,7 @@ class Search:
         ):
             mine = active[chosen]
             for side in (first, second):
-                open_ = bounds[side][chosen] * self.factor <= self.kth[mine] * (1 + 1e-12)
+                open_ = bounds[side][chosen] * self.factor <= self.kth[mine] + self.slack[mine]
                 self.visit(getattr(node, side), mine[open_])
 
     def _scan(self, members: np.ndarray, active: np.ndarray) -> None:
@@ -110,18 +113,31 @@ class Search:
         self.kth[active] = self.dist[active].max(axis=1)
 
 
+def measured(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    return np.add.accumulate(vectors * query, axis=1)[:, -1]
+
+
 def nearest_in_shard(k: int, factor: float):
-    def best(ids, matrix, query_ids, asked) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        copies = Copies(ids, matrix, k)
+    def best(ids, counts, matrix, query_ids, asked) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        copies = Copies(ids, counts, matrix, k)
         points = lifted(copies.matrix)
         tree = build(points, np.arange(len(points)), np.random.default_rng(SEED))
         # One more than k for the query's own vector, and some for ties within rounding.
         hunt = Search(points, np.column_stack([asked, np.zeros(len(asked))]), k + 4, factor)
         hunt.visit(tree, np.arange(len(asked)))
+        size = hunt.norms.max(initial=0.0)
         for j in range(len(asked)):
             at = hunt.found[j][hunt.found[j] >= 0]
             # The measure itself, on the vectors as given, summed from the first component on.
-            score = np.add.accumulate(copies.matrix[at] * asked[j], axis=1)[:, -1]
+            score = measured(copies.matrix[at], asked[j])
+            # Where the last vectors found tie within rounding with the last that can
+            # count, all that reach its score are looked at.
+            slack = 1e-12 * (size + asked[j] @ asked[j])
+            if len(at) == hunt.k:
+                last = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
+                if score.min() >= last - slack:
+                    at = np.flatnonzero(copies.matrix @ asked[j] >= last - slack)
+                    score = measured(copies.matrix[at], asked[j])
             sizes = copies.sizes[at]
             got_ids = copies.ids[gathered(copies.starts[at], sizes)]
             got = np.repeat(score, sizes)

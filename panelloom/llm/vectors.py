@@ -21,7 +21,7 @@ from panelloom.llm.common import stored
 
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 2048
-SHARD_SCHEMA = "dim int, shard int, ids array<long>, data binary"
+SHARD_SCHEMA = "dim int, shard int, ids array<long>, counts array<long>, data binary"
 FOUND_SCHEMA = "query_id long, vec_ids array<long>, scores array<{kind}>"
 
 
@@ -47,12 +47,17 @@ def shards(
     rows: DataFrame, size: int, prepare: Callable[[np.ndarray], np.ndarray], name: str
 ) -> DataFrame:
     """Rows (vec_id, vector, dim) in shards of about ``size``, stored: dim, shard, ids,
-    data (the matrix ``prepare`` makes, as bytes).  A vector's shard follows from its id
-    and content, so copies of one vector spread over all shards."""
+    counts, data (the matrix ``prepare`` makes, as bytes).  Repeated rows are one with their
+    count.  A vector's shard follows from its id and content, so copies of one vector and
+    vectors of one id spread over all shards."""
     counts = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("_n"))
     most = counts.agg(F.max("_n")).first()[0] or 0
     n = max(1, math.ceil(most / size))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
+    dealt = (
+        rows.groupBy("vec_id", "vector", "dim")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("shard", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(n)).cast("int"))
+    )
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", kind="stable")
@@ -62,6 +67,7 @@ def shards(
                 "dim": [key[0]],
                 "shard": [key[1]],
                 "ids": [pdf["vec_id"].to_numpy(np.int64)],
+                "counts": [pdf["n"].to_numpy(np.int64)],
                 "data": [np.ascontiguousarray(data).tobytes()],
             }
         )
@@ -75,11 +81,11 @@ def search(
     dtype: str,
     kind: str,
     k: int,
-    best: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator],
+    best: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator],
 ) -> DataFrame:
     """Each query's ``k`` best over all shards: query_id, rank, vec_id, score.
 
-    ``best(ids, matrix, query_ids, query_matrix)`` yields for each query its best ids and
+    ``best(ids, counts, matrix, query_ids, query_matrix)`` yields for each query its best ids and
     scores in one shard.  Every shard and block meet once.
     """
     # Query blocks go to the shards of their dimension, of which there are few numbers.
@@ -100,7 +106,7 @@ def search(
                 matrix = np.frombuffer(r.data, dtype).reshape(len(ids), -1)
                 query_ids = np.asarray(r.query_ids, np.int64)
                 asked = np.frombuffer(r.query_data, dtype).reshape(len(query_ids), -1)
-                found = list(best(ids, matrix, query_ids, asked))
+                found = list(best(ids, np.asarray(r.counts, np.int64), matrix, query_ids, asked))
                 yield pd.DataFrame(
                     {
                         "query_id": query_ids,
@@ -133,20 +139,26 @@ def ranked(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 class Copies:
     """Equal vectors of a shard as one, with their smallest ids.
 
-    A query's ``k`` best hold at most ``k`` copies of one vector, and one more may be the
-    query itself, so ``k + 1`` smallest ids of each are all that can count.
+    A query's ``k`` best hold at most ``k`` copies of one vector, and one more id may be the
+    query's own, so the ``k + 1`` smallest different ids of each are all that can count.  An
+    id stands as often as its rows are repeated, ``k`` times at most.
     """
 
-    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, matrix: np.ndarray, k: int):
         raw = np.ascontiguousarray(matrix + 0)
         key = raw.view(np.dtype((np.void, raw.dtype.itemsize * raw.shape[1]))).ravel()
         _, first, of = np.unique(key, return_index=True, return_inverse=True)
         order = np.lexsort((ids, of))
-        ids, of = ids[order], of[order]
+        ids, of, counts = ids[order], of[order], counts[order]
+        # Rows of one id whose vectors became equal are one entry.
+        new = np.append(True, (of[1:] != of[:-1]) | (ids[1:] != ids[:-1]))
+        counts = np.minimum(np.add.reduceat(counts, np.flatnonzero(new)), k)
+        ids, of = ids[new], of[new]
         begins = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
         place = np.arange(len(of)) - np.repeat(begins, np.diff(np.append(begins, len(of))))
         keep = place <= k
         self.matrix = matrix[first]
-        self.ids, of = ids[keep], of[keep]
+        self.ids = np.repeat(ids[keep], counts[keep])
+        of = np.repeat(of[keep], counts[keep])
         self.starts = np.searchsorted(of, np.arange(len(first)))
         self.sizes = np.bincount(of, minlength=len(first))
