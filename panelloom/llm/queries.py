@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelloom.llm import (
     bpe_counts,
+    divergence,
     genetic_packing,
     licences,
     mixing,
@@ -84,6 +85,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"), min_docs=3, top=200)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_exact_topk": op2_exact_topk,
@@ -95,9 +100,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packed_ids": op8_packed_ids,
     "op9_genetic_packing": op9_genetic_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
+    "op11_source_divergence": divergence.divergence_sql(),
     "op1_license_scan": licences.licence_sql(),
     "op2_exact_topk": """
 WITH good AS (
