@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelloom.llm import (
     bpe_counts,
+    collocations,
     divergence,
     genetic_packing,
     licences,
@@ -89,6 +90,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"), min_docs=3, top=200)
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_exact_topk": op2_exact_topk,
@@ -101,10 +106,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_genetic_packing": op9_genetic_packing,
     "op10_toxicity": op10_toxicity,
     "op11_source_divergence": op11_source_divergence,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 ORACLES: dict[str, str] = {
     "op11_source_divergence": divergence.divergence_sql(),
+    "op13_phrase_collocations": collocations.collocations_sql(),
     "op1_license_scan": licences.licence_sql(),
     "op2_exact_topk": """
 WITH good AS (
