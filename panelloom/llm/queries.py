@@ -15,6 +15,7 @@ from panelloom.llm import (
     licences,
     mixing,
     near_dedup,
+    near_vectors,
     packed_ids,
     suffix_dedup,
     topk_cells,
@@ -90,6 +91,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"), min_docs=3, top=200)
 
 
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -106,11 +111,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_genetic_packing": op9_genetic_packing,
     "op10_toxicity": op10_toxicity,
     "op11_source_divergence": op11_source_divergence,
+    "op12_near_vectors": op12_near_vectors,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 ORACLES: dict[str, str] = {
     "op11_source_divergence": divergence.divergence_sql(),
+    "op12_near_vectors": near_vectors.NEAR_VECTORS_SQL,
     "op13_phrase_collocations": collocations.collocations_sql(),
     "op1_license_scan": licences.licence_sql(),
     "op2_exact_topk": """
