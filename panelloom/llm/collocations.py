@@ -17,7 +17,6 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -257,10 +256,15 @@ def _subtrees(least: int, pairs: dict[str, set[tuple[bytes, bytes]]]):
     ``least`` leaves below them.  A node whose leaves several groups share is given whatever
     its part."""
 
-    def build(key: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
+    def build(blocks: pa.Table) -> pa.Table:
         found = []
-        for lang, some in blocks.groupby("lang", sort=False):
-            parts = [_unpacked(b) for b in some["block"]]
+        by_lang: dict[str, list[bytes]] = {}
+        for lang, block in zip(
+            blocks["lang"].to_pylist(), blocks["block"].to_pylist(), strict=True
+        ):
+            by_lang.setdefault(lang, []).append(block)
+        for lang, some in by_lang.items():
+            parts = [_unpacked(b) for b in some]
             lengths = [len(p[0]) for p in parts]
             coded = pa.array([w for p in parts for w in p[0]], pa.binary()).dictionary_encode()
             listed = coded.dictionary
@@ -290,18 +294,23 @@ def _subtrees(least: int, pairs: dict[str, set[tuple[bytes, bytes]]]):
                 ]
                 keep |= np.isin(a * width + b, np.array(keys, np.int64))
             keep &= b > 0
-            found.append(_rows(lang, listed, a[keep], b[keep], np.zeros(keep.sum(), int), total[keep]))
-        return pd.concat(found)
+            none = np.zeros(int(keep.sum()), np.int64)
+            found.append(_rows(lang, listed, a[keep], b[keep], none, total[keep]))
+        return pa.Table.from_batches(found)
 
     return build
 
 
-def _rows(lang: str, listed: pa.Array, a, b, c, n) -> pd.DataFrame:
-    def text(codes: np.ndarray) -> list:
-        mask = codes == 0
-        return listed.take(pa.array(np.maximum(codes - 1, 0), mask=mask)).to_pylist()
+def _rows(lang: str, listed: pa.Array, a, b, c, n) -> pa.RecordBatch:
+    def text(codes: np.ndarray) -> pa.Array:
+        return listed.take(pa.array(np.maximum(codes - 1, 0), mask=codes == 0))
 
-    return pd.DataFrame({"lang": [lang] * len(n), "a": text(a), "b": text(b), "c": text(c), "n": n})
+    return pa.RecordBatch.from_pydict(
+        {
+            "lang": pa.array([lang] * len(n), pa.string()),
+            "a": text(a), "b": text(b), "c": text(c), "n": pa.array(n, pa.int64()),
+        }
+    )
 
 
 def _exact(name: str) -> str:
@@ -365,7 +374,7 @@ def collocations(
         _suffix_blocks(groups, common, pairs), "prefix_group long, lang string, block binary"
     )
     nodes = stored(
-        blocks.groupBy("prefix_group").applyInPandas(
+        blocks.groupBy("prefix_group").applyInArrow(
             _subtrees(least, pairs), "lang string, a binary, b binary, c binary, n long"
         ),
         "nodes",
