@@ -7,18 +7,33 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
-from panelloom.llm.common import gathered
+from panelloom.llm.bpe_counts import byte_letters
 
 # Distinct words kept; emptied at this size.  It saves encoding a word again.
 CACHE_WORDS = 500_000
 # Words the library encodes in one call.
 ENCODE_WORDS = 4_000
-# Words looked up in one step.
-GROUP_WORDS = 50_000
+# Bytes of texts looked at in one step; longer texts are cut at white space.
+GROUP_BYTES = 1 << 21
 # Between a letter and the punctuation that ends a chunk the pre-tokeniser always cuts.
 TAIL = re.compile(rb"(?<=[a-z])[!-/:-@\[-`{-~]+(?=\s|$)")
 MARK = b"<|"
+# Lower-case letters that the normaliser leaves alone and the pre-tokeniser keeps together.
+PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+LETTERS = byte_letters()
+
+# What a byte is: white space, part of another character, ASCII letter or digit, punctuation.
+SPACE, OTHER, NAMING, POINT = range(4)
+_KIND = np.array(
+    [
+        SPACE if b in b" \t\n\x0b\x0c\r" else NAMING if chr(b).isalnum() and b < 128
+        else POINT if 33 <= b <= 126 else OTHER
+        for b in range(256)
+    ],
+    np.uint8,
+)
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
@@ -33,12 +48,12 @@ def word_tokenizer(path: str) -> WordTokenizer:
 class WordTokenizer:
     """Encodes texts word by word.
 
-    The tokenizer's pre-tokens never reach over white space and its normaliser, which makes
-    letters small, looks at no neighbours over it.  So the ids of a text are those of its
-    runs without ASCII white space, and those of a run are the ids of its lower-cased word
-    and of the punctuation at its end.  Each distinct word is encoded by the library once;
-    texts are assembled with numpy.  Runs that may hold a special string go to the library
-    as they are.
+    The tokenizer's pre-tokens never reach over white space, nor from an ASCII letter or digit
+    to punctuation after it, and its normaliser, which makes letters small, looks at no
+    neighbours over either.  So the ids of a text are those of the words between, one after
+    another.  Words of many texts are found at once, in one array of bytes; each distinct word
+    is encoded by the library once; texts are assembled with numpy.  Texts that may hold a
+    special string are cut at white space only where it may be.
     """
 
     def __init__(self, path: str):
@@ -69,12 +84,18 @@ class WordTokenizer:
         self.used += len(ids)
 
     def _learn(self, words: list[bytes]) -> None:
-        # Lower-case ASCII words are one pre-token as they are, and go to the model directly.
-        plain = [w for w in words if w.isalpha() and w.islower()]
-        found = [[t.id for t in self.model.tokenize(w.decode())] for w in plain]
+        # Words of plain letters are one pre-token as they are, and go to the model directly.
+        plain, other, found = [], [], []
+        for w in words:
+            text = w.decode("utf-8", "replace")
+            if PLAIN(text):
+                plain.append(w)
+                letters = text if len(text) == len(w) else w.decode("latin-1").translate(LETTERS)
+                found.append([t.id for t in self.model.tokenize(letters)])
+            else:
+                other.append(w)
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         self._keep(plain, np.array(list(chain.from_iterable(found)), np.uint32), lengths)
-        other = [w for w in words if not (w.isalpha() and w.islower())]
         for i in range(0, len(other), ENCODE_WORDS):
             some = other[i : i + ENCODE_WORDS]
             texts = [w.decode("utf-8", "replace") for w in some]
@@ -89,37 +110,77 @@ class WordTokenizer:
 
     def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text (null: empty) as unsigned 32-bit integers."""
-        group, held = [], 0
+        group: list[bytes] = []
+        held = 0
         for text in texts:
-            group.append(split_words((text or "").encode("utf-8", "replace")))
-            held += len(group[-1])
-            if held > GROUP_WORDS:
+            data = (text or "").encode("utf-8", "replace")
+            if len(data) > GROUP_BYTES or MARK in data:
+                yield from self._encode(group)
+                yield self._alone(data)
+                group, held = [], 0
+                continue
+            group.append(data)
+            held += len(data)
+            if held > GROUP_BYTES:
                 yield from self._encode(group)
                 group, held = [], 0
         yield from self._encode(group)
 
-    def _encode(self, group: list[list[bytes]]) -> Iterator[np.ndarray]:
+    def _alone(self, data: bytes) -> np.ndarray:
+        """Ids of a text that is very long or may hold a special string."""
+        parts, at = [], 0
+        while at < len(data):
+            end = at + GROUP_BYTES
+            while end < len(data) and _KIND[data[end]] != SPACE:
+                end += 1
+            part = data[at:end]
+            if MARK in part:
+                words = split_words(part)
+                parts.append(self._assembled(self._numbers(words))[0])
+            else:
+                parts += self._encode([part])
+            at = end
+        return np.concatenate(parts)
+
+    def _encode(self, group: list[bytes]) -> Iterator[np.ndarray]:
+        data = np.frombuffer(b" ".join(group).lower(), np.uint8)
+        kind = _KIND[data]
+        before = np.append(np.uint8(SPACE), kind[:-1])
+        inside = kind != SPACE
+        begins = inside & ((before == SPACE) | ((kind == POINT) & (before == NAMING)))
+        at = np.flatnonzero(begins)
+        # Where each text's words begin.
+        sizes = np.fromiter(map(len, group), np.int64, len(group))
+        first = np.searchsorted(at, np.cumsum(sizes + 1) - sizes - 1)
+        packed = data[inside]
+        offsets = np.append(np.flatnonzero(begins[inside]), len(packed)).astype(np.int32)
+        words = pa.Array.from_buffers(
+            pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]
+        ).dictionary_encode()
+        numbers = self._numbers(words.dictionary.to_pylist())
+        ids, ends = self._assembled(numbers[words.indices.to_numpy()])
+        starts = np.append(0, ends)[np.append(first, len(at))]
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            yield ids[a:b]
+
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word, learned where it is new."""
         if len(self.number) > CACHE_WORDS:
             self._reset()
-        get = self.number.get
-        found = [list(map(get, words)) for words in group]
-        unknown = {
-            w: None
-            for words, numbers in zip(group, found, strict=True)
-            if None in numbers
-            for w, number in zip(words, numbers, strict=True)
-            if number is None
-        }
-        if unknown:
-            self._learn(list(unknown))
-        for words, numbers in zip(group, found, strict=True):
-            if not words:
-                yield np.zeros(0, np.uint32)
-                continue
-            if None in numbers:
-                numbers = list(map(get, words))
-            runs = self.word_at[np.array(numbers)]
-            yield self.flat[gathered(runs[:, 0], runs[:, 1])]
+        numbers = list(map(self.number.get, words))
+        if None in numbers:
+            new = {w: None for w, number in zip(words, numbers, strict=True) if number is None}
+            self._learn(list(new))
+            numbers = list(map(self.number.get, words))
+        return np.array(numbers, np.int64)
+
+    def _assembled(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another, and where those of each end."""
+        runs = self.word_at[numbers]
+        ends = np.cumsum(runs[:, 1])
+        total = int(ends[-1]) if len(ends) else 0
+        shift = runs[:, 0] - ends + runs[:, 1]
+        return self.flat[np.repeat(shift, runs[:, 1]) + np.arange(total)], ends
 
     def encode(self, text: str | None) -> np.ndarray:
         return next(self.encode_all([text]))
