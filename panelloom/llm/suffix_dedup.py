@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.llm.common import mixed, ragged_positions, stored
@@ -63,6 +63,13 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return mixed(h)
 
 
+def _short(gram: np.ndarray) -> np.ndarray:
+    """Half of a gram's hash, other bits than those that choose its bucket.  A bucket holds a
+    bounded number of grams, so few of them are taken for equal at any size; such anchors go
+    on with their suffixes, whose bytes are compared."""
+    return (mixed(gram ^ np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+
+
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """Anchors of each text: text number, hash of the gram, place of the anchor, first and
     last start of the strings it belongs to.  In text order; long texts in slices."""
@@ -273,14 +280,15 @@ def _shared_anchors(docs: DataFrame, n: int) -> DataFrame:
                 rows.append(_row(bucket, 1, keys[d], m, np.zeros(0)))
             pair = low != high
             told = gram[order[at[pair]]]
+            short = _short(gram)
             ends = np.column_stack([low[pair], high[pair]])
             for bucket, g, e in _dealt(
-                ((told >> np.uint64(8)) % np.uint64(n)).astype(np.int64), told, ends
+                ((told >> np.uint64(8)) % np.uint64(n)).astype(np.int64), _short(told), ends
             ):
                 rows.append(_row(bucket, 2, g, keys[e.ravel(), 1], np.zeros(0)))
             alone = ~many
             buckets = ((gram[alone] >> np.uint64(8)) % np.uint64(n)).astype(np.int64)
-            for bucket, g, d, m in _dealt(buckets, gram[alone], doc[alone], number[alone]):
+            for bucket, g, d, m in _dealt(buckets, short[alone], doc[alone], number[alone]):
                 used, counts = np.unique(d, return_counts=True)
                 tail = np.column_stack([keys[used], counts])
                 rows.append(_row(bucket, 0, g, m, tail))
@@ -292,13 +300,13 @@ def _shared_anchors(docs: DataFrame, n: int) -> DataFrame:
         for r in pdf[pdf["kind"] == 0].itertuples(index=False):
             tail = np.frombuffer(r.tail, np.int64).reshape(-1, 3)
             owner = np.repeat(tail[:, :2], tail[:, 2], axis=0)
-            grams.append(np.frombuffer(r.head, np.uint64))
+            grams.append(np.frombuffer(r.head, np.uint32))
             owners.append(owner)
             numbers.append(np.frombuffer(r.body, np.uint32))
             texts.append(owner[:, 1])
         asked = sum(map(len, grams))
         for r in pdf[pdf["kind"] == 2].itertuples(index=False):
-            grams.append(np.repeat(np.frombuffer(r.head, np.uint64), 2))
+            grams.append(np.repeat(np.frombuffer(r.head, np.uint32), 2))
             texts.append(np.frombuffer(r.body, np.int64))
         if asked:
             gram, text = np.concatenate(grams), np.concatenate(texts)
@@ -595,16 +603,26 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             dtype=object,
         )
 
-    same = (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_digest"))
-    joined = docs.join(change, same, "left")
+    # The row goes along as a whole, so that no name of it meets those made here.
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_digest"),
+    )
+    joined = rows.join(change, ["_doc", "_digest"], "left")
+    old = F.col("row").getField("text")
     text = (
         F.when(F.col("_whole"), F.lit(""))
-        .when(F.col("_spans").isNotNull(), kept(F.coalesce("text", F.lit("")), F.col("_spans")))
-        .otherwise(F.col("text"))
+        .when(F.col("_spans").isNotNull(), kept(F.coalesce(old, F.lit("")), F.col("_spans")))
+        .otherwise(old)
     )
-    out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn(
-            "n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)
-        )
-    return out.select(*docs.columns)
+    joined = joined.select("row", text.alias("text"))
+    return joined.select(*[_replaced(docs, c, F.col("text"), F.length("text")) for c in docs.columns])
+
+
+def _replaced(docs: DataFrame, column: str, text: Column, n_chars: Column) -> Column:
+    """``column`` of the row, or what takes its place."""
+    if column == "text":
+        return text.alias(column)
+    if column == "n_chars":
+        return n_chars.cast(docs.schema[column].dataType).alias(column)
+    return F.col("row").getField(column).alias(column)
