@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import ragged_positions
+from panelloom.llm.common import id_text, ragged_positions
 
 # Fixed value: how byte-level BPE cuts a text before merging.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -195,7 +195,7 @@ def token_counts(
     null ids stay null; other columns are not read.  No shuffle.
     """
     slim = docs.select(
-        F.col(id_col).alias("doc_id"),
+        id_text(id_col).alias("doc_id"),
         F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"),
         F.col(text_col).alias("text"),
     )
@@ -210,12 +210,13 @@ def token_counts(
                 found += counter.counts(texts[i : i + 256])
             yield pd.DataFrame(
                 {
-                    "doc_id": batch["doc_id"].astype("Int64"),
+                    "doc_id": batch["doc_id"],
                     "n_bytes": batch["n_bytes"],
                     "n_tokens": found,
                 }
             )
 
-    return slim.mapInPandas(count, "doc_id long, n_bytes long, n_tokens long").withColumn(
-        "over_limit", F.col("n_tokens") > limit
+    return slim.mapInPandas(count, "doc_id string, n_bytes long, n_tokens long").select(
+        F.col("doc_id").cast("long").alias("doc_id"), "n_bytes", "n_tokens",
+        (F.col("n_tokens") > limit).alias("over_limit"),
     )

@@ -25,6 +25,11 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def id_text(column: str) -> Column:
+    """An id as text, for Python workers: beside a null, pandas holds longs as doubles."""
+    return F.col(column).cast("long").cast("string")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once below the shared folder and read it back: lineage ends there, and
     any executor can read every part again."""

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import ragged_positions, stored
+from panelloom.llm.common import id_text, ragged_positions, stored
 from panelloom.llm.word_tokens import word_tokenizer
 
 SHARD_PIECES = 2000
@@ -46,19 +46,20 @@ def token_pieces(
         tail = np.zeros(0, np.uint32) if end_id is None else np.array([end_id], np.uint32)
         for batch in batches:
             rows = []
-            ids_of_docs = batch["doc_id"].astype("Int64")
             encoded = tokenizer.encode_all(batch["text"].tolist())
-            for d, ids in zip(ids_of_docs, encoded, strict=True):
+            for d, ids in zip(batch["doc_id"], encoded, strict=True):
                 ids = np.concatenate([ids, tail]).astype("<u4")
                 for piece, start in enumerate(range(0, len(ids), size)):
                     part = ids[start : start + size]
                     rows.append((d, piece, start, len(part), zlib.crc32(part.tobytes())))
             yield pd.DataFrame(
                 rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]
-            ).astype({"doc_id": "Int64"})
+            )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        cut, "doc_id long, piece int, start long, length long, ids_crc32 long"
+    return (
+        docs.select(id_text("doc_id").alias("doc_id"), "text")
+        .mapInPandas(cut, "doc_id string, piece int, start long, length long, ids_crc32 long")
+        .withColumn("doc_id", F.col("doc_id").cast("long"))
     )
 
 
@@ -187,7 +188,7 @@ POPULATION_SCHEMA = (
     "shard long, island int, lengths array<int>, people array<array<int>>"
 )
 SHARD_SCHEMA = (
-    "shard long, doc_id array<long>, piece array<int>, start array<long>, "
+    "shard long, doc_id array<string>, piece array<int>, start array<long>, "
     "length array<int>, ids_crc32 array<long>"
 )
 COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -198,13 +199,13 @@ def _sharded(pieces: DataFrame, shard_pieces: int, base: int) -> DataFrame:
     n = max(1, math.ceil(pieces.count() / shard_pieces))
     # By place, so that repeated rows spread; the pieces are stored, so places are fixed.
     place = F.xxhash64(F.monotonically_increasing_id())
-    dealt = pieces.withColumn("shard", F.pmod(place, F.lit(n)) + F.lit(base))
+    dealt = pieces.withColumn("shard", F.pmod(place, F.lit(n)) + F.lit(base)).withColumn(
+        "doc_id", id_text("doc_id")
+    )
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(COLUMNS, kind="stable")
-        return pd.DataFrame(
-            {"shard": [key[0]], **{c: [pdf[c].astype("Int64").tolist()] for c in COLUMNS}}
-        ).map(lambda v: [None if x is pd.NA else x for x in v] if isinstance(v, list) else v)
+        return pd.DataFrame({"shard": [key[0]], **{c: [pdf[c].tolist()] for c in COLUMNS}})
 
     return stored(dealt.groupBy("shard").applyInPandas(pack, SHARD_SCHEMA), "shards")
 
@@ -264,7 +265,7 @@ def _packed(shards: DataFrame, size: int) -> DataFrame:
 
 
 PLACED = (
-    "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, "
+    "doc_id string, piece int, start long, length long, ids_crc32 long, sequence_id long, "
     "offset long, fill double"
 )
 
@@ -283,12 +284,9 @@ def _places(shards: DataFrame, owners: DataFrame, size: int) -> DataFrame:
                 first = np.flatnonzero(np.append(True, np.diff(owner) != 0))
                 counts = np.diff(np.append(first, len(owner)))
                 fill = np.add.reduceat(length, first) / size
-                ids = [r.doc_id[i] for i in order]
                 yield pd.DataFrame(
                     {
-                        "doc_id": pd.array(
-                            [None if i is None or i != i else int(i) for i in ids], "Int64"
-                        ),
+                        "doc_id": [r.doc_id[i] for i in order],
                         "piece": np.asarray(r.piece, np.int64)[order],
                         "start": np.asarray(r.start, np.int64)[order],
                         "length": length,
@@ -299,7 +297,8 @@ def _places(shards: DataFrame, owners: DataFrame, size: int) -> DataFrame:
                     }
                 )
 
-    return shards.join(owners, "shard").mapInPandas(place, PLACED)
+    placed = shards.join(owners, "shard").mapInPandas(place, PLACED)
+    return placed.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def pack_pieces(pieces: DataFrame, size: int = 2048) -> DataFrame:

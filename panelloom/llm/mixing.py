@@ -182,33 +182,39 @@ def mixed_documents(
     one as further rows, the last of them cut after the words it takes.  All columns stay;
     ``n_chars`` follows a cut text.  The texts are not shuffled."""
     plan = cuts(_sizes(docs, seed), weights, max_epochs)
-    names = {c: f"_mix_{c}" for c in plan.columns}
-    plan = plan.select(*[F.col(c).alias(n) for c, n in names.items()])
+    plan = plan.select(F.struct(*plan.columns).alias("plan"))
     size = word_count(F.col("text"))
     key = F.coalesce(order_key(seed), seeded(F.col("doc_id"), seed))
+    # The row goes along as a whole, so that no name of it meets those made here.
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col("source").alias("source"), size.alias("size"), key.alias("key"),
+    ).join(plan, F.col("source").eqNullSafe(F.col("plan.source")))
     extra = (
-        F.when(F.col("_mix_all") | (key < F.col("_mix_cut")), size)
-        .when(key == F.col("_mix_cut"), F.col("_mix_rest"))
+        F.when(F.col("plan.all") | (F.col("key") < F.col("plan.cut")), F.col("size"))
+        .when(F.col("key") == F.col("plan.cut"), F.col("plan.rest"))
         .otherwise(F.lit(0))
     )
-    taken = (
-        docs.join(plan, F.col("source").eqNullSafe(F.col("_mix_source")))
-        .withColumn("_size", size)
-        .withColumn("_extra", extra)
-        .where("_size > 0")
+    taken = rows.where("size > 0").withColumn("extra", extra)
+    times = F.col("plan.copies") + F.when(F.col("extra") > 0, 1).otherwise(0)
+    repeated = taken.where(times > 0).withColumn(
+        "copy", F.explode(F.sequence(F.lit(1).cast("long"), times.cast("long")))
     )
-    rows = F.col("_mix_copies") + F.when(F.col("_extra") > 0, 1).otherwise(0)
-    repeated = taken.where(rows > 0).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1).cast("long"), rows.cast("long")))
-    )
-    part = (F.col("_copy") > F.col("_mix_copies")) & (F.col("_extra") < F.col("_size"))
+    old = F.col("row").getField("text")
+    part = (F.col("copy") > F.col("plan.copies")) & (F.col("extra") < F.col("size"))
     words = F.slice(
-        F.regexp_extract_all("text", F.lit(f"({WORD})")), F.lit(1), F.col("_extra").cast("int")
-    )
-    out = repeated.withColumn(
-        "text", F.when(part, F.array_join(words, " ")).otherwise(F.col("text"))
+        F.regexp_extract_all(old, F.lit(f"({WORD})")), F.lit(1), F.col("extra").cast("int")
     )
-    if "n_chars" in docs.columns:
-        n = F.when(part, F.length("text")).otherwise(F.col("n_chars"))
-        out = out.withColumn("n_chars", n.cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    cut = F.when(part, F.array_join(words, " ")).otherwise(old)
+    out = repeated.select("row", cut.alias("text"), part.alias("part"))
+
+    def column(c: str) -> Column:
+        before = F.col("row").getField(c)
+        if c == "text":
+            return F.col("text").alias(c)
+        if c == "n_chars":
+            n = F.when(F.col("part"), F.length("text")).otherwise(before)
+            return n.cast(docs.schema[c].dataType).alias(c)
+        return before.alias(c)
+
+    return out.select(*[column(c) for c in docs.columns])

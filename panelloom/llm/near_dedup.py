@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelloom.llm.common import mixed, stored
+from panelloom.llm.common import id_text, mixed, stored
 from panelloom.llm.connected import components
 from panelloom.llm.shingles import Shingler
 
@@ -74,7 +74,8 @@ def band_keys(coordinates: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (of the whole set), bands; the latter null for empty sets."""
+    """doc_id, text_key, n_shingles, set_key (of the whole set), bands; the last two null for
+    empty sets.  ``docs`` has columns doc_id, text and text_key, which goes along as it is."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(words)
@@ -91,15 +92,19 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                     bands.append(None)
             yield pd.DataFrame(
                 {
-                    "doc_id": batch["doc_id"].astype("Int64"),
+                    "doc_id": batch["doc_id"],
+                    "text_key": batch["text_key"],
                     "n_shingles": counts,
                     "set_key": keys,
                     "bands": bands,
                 }
             )
 
-    return docs.select("doc_id", "text").mapInPandas(
-        make, "doc_id long, n_shingles long, set_key binary, bands array<long>"
+    schema = "doc_id string, text_key string, n_shingles long, set_key binary, bands array<long>"
+    return (
+        docs.select(id_text("doc_id").alias("doc_id"), "text", "text_key")
+        .mapInPandas(make, schema)
+        .withColumn("doc_id", F.col("doc_id").cast("long"))
     )
 
 
@@ -152,18 +157,16 @@ def spanning(pairs: np.ndarray, n: int) -> np.ndarray:
 
 
 def _clusters(reps: DataFrame) -> DataFrame:
-    """rep, cluster: documents that share a band, directly or through others."""
-    bands = reps.select("rep", F.explode("bands").alias("band"))
+    """node, cluster: sets that share a band, directly or through others."""
+    bands = reps.select("node", F.explode("bands").alias("band"))
     heads = (
         bands.groupBy("band")
-        .agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
     )
-    shared = bands.join(heads.select("band", "head"), "band").where("rep <> head")
-    edges = shared.select(F.col("rep").alias("a"), F.col("head").alias("b"))
-    return components(edges).select(
-        F.col("node").alias("rep"), F.col("label").alias("cluster")
-    )
+    shared = bands.join(heads.select("band", "head"), "band").where("node <> head")
+    edges = shared.select(F.col("node").alias("a"), F.col("head").alias("b"))
+    return components(edges).select("node", F.col("label").alias("cluster"))
 
 
 def once_each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,15 +185,15 @@ def once_each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _verified(
     docs: DataFrame, reps: DataFrame, clusters: DataFrame, words: int, percent: int
 ) -> DataFrame:
-    """Edges (a, b) that span the linked documents of every cluster."""
+    """Edges (a, b) that span the linked sets of every cluster."""
     weighed = clusters.join(
-        reps.groupBy("rep").agg((8 * F.sum("n_shingles")).alias("bytes")), "rep"
+        reps.select("node", "rep", "set_key", (8 * F.col("n_shingles")).alias("bytes")), "node"
     )
     sizes = weighed.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")
     )
     placed = (
-        clusters.join(sizes, "cluster")
+        weighed.drop("bytes").join(sizes, "cluster")
         .withColumn(
             "blocks",
             F.least(
@@ -198,8 +201,8 @@ def _verified(
                 F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)),
             ).cast("int"),
         )
-        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .select(F.col("rep").alias("doc_id"), "cluster", "blocks", "block")
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .select(F.col("rep").alias("doc_id"), "node", "set_key", "cluster", "blocks", "block")
     )
     # Repeated rows go before the exchange, so that what meets is one row a task at most.
     slim = docs.select("doc_id", "text").mapInPandas(once_each, "doc_id long, text string")
@@ -209,12 +212,14 @@ def _verified(
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(words)
         for batch in once_each(batches):
-            out = batch[["doc_id", "cluster", "blocks", "block"]].copy()
+            out = batch[["node", "cluster", "blocks", "block"]].copy()
             out["shingles"] = [shingler.hashes(t).tobytes() for t in batch["text"]]
-            yield out
+            # Another text under the id of the set is not the set.
+            keys = [xxhash.xxh3_128_digest(s) for s in out["shingles"]]
+            yield out[np.array([k == w for k, w in zip(keys, batch["set_key"], strict=True)], bool)]
 
     with_sets = texts.mapInPandas(
-        sets, "doc_id long, cluster long, blocks int, block int, shingles binary"
+        sets, "node long, cluster long, blocks int, block int, shingles binary"
     )
     # Each block meets every block of its cluster, itself too, once.
     met = with_sets.select(
@@ -224,16 +229,16 @@ def _verified(
         F.least("block", "other").alias("i"),
         F.greatest("block", "other").alias("j"),
         "block",
-        "doc_id",
+        "node",
         "shingles",
     )
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         # A set is here once, even where tasks before had a repeated row each.
-        pdf = pdf.drop_duplicates(["doc_id", "shingles"])
-        pdf = pdf.sort_values(["block", "doc_id"], kind="stable")
+        pdf = pdf.drop_duplicates("node")
+        pdf = pdf.sort_values(["block", "node"], kind="stable")
         found = [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
-        ids = pdf["doc_id"].to_numpy(np.int64)
+        ids = pdf["node"].to_numpy(np.int64)
         split = 0 if key[1] == key[2] else int((pdf["block"] == key[1]).sum())
         parent = spanning(linked_pairs(found, split, percent), len(ids))
         child = np.flatnonzero(parent != np.arange(len(ids)))
@@ -251,32 +256,43 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     Null, empty and blank texts have empty sets and are linked with nothing.  Rows without
     an id take no part: component_id null, kept.  Rows that share an id and a text are one
-    document with one result each; if their texts differ, each text is looked at under the
-    same id.  Other columns are not read.
+    document with one result each; different texts under one id have a class each.  Other columns are not read.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    slim = docs.select("doc_id", "text", F.lit(None).cast("string").alias("text_key"))
+    return _classes(slim, words, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, text_key, n_shingles, set_key, component_id, kept of rows (doc_id, text,
+    text_key)."""
+    slim = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     made = stored(sketches(slim, words), "sketches")
     named = made.where(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
-    # Equal sets are one: each is represented by its smallest id.
+    # Equal sets are one: each is represented by its smallest id, and by a number of its own,
+    # as one id may have several sets.
     reps = stored(
         named.groupBy("set_key").agg(
             F.min("doc_id").alias("rep"), F.min("bands").alias("bands"),
             F.min("n_shingles").alias("n_shingles"),
-        ),
+        ).withColumn("node", F.monotonically_increasing_id()),
         "sets",
     )
     clusters = stored(_clusters(reps), "clusters")
-    links = _verified(slim.where(F.col("doc_id").isNotNull()), reps, clusters, words, percent)
+    links = _verified(slim.select("doc_id", "text").where(F.col("doc_id").isNotNull()), reps, clusters, words, percent)
     classes = components(links)
-    labels = reps.select("set_key", "rep").join(
-        classes.select(F.col("node").alias("rep"), "label"), "rep", "left"
-    ).select("set_key", F.coalesce("label", "rep").alias("label"))
-    rows = made.select("doc_id", "n_shingles", "set_key")
+    named = reps.select("set_key", "rep", "node").join(classes, "node", "left").select(
+        "set_key", "rep", F.coalesce("label", "node").alias("class")
+    )
+    least = named.groupBy("class").agg(F.min("rep").alias("label"))
+    labels = named.join(least, "class").select("set_key", "label")
+    rows = made.select("doc_id", "text_key", "n_shingles", "set_key")
     return (
         rows.join(labels, "set_key", "left")
         .select(
             "doc_id",
+            "text_key",
             "n_shingles",
+            "set_key",
             F.when(
                 F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")
             ).alias("component_id"),
@@ -287,18 +303,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 def first_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each class of near duplicates, the one with the
-    smallest doc_id; all columns stay.  Of rows that share an id one stays; rows without an
-    id all do."""
-    classes = near_duplicates(docs, words, percent)
-    ids = classes.where(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull())
-    place = F.row_number().over(
-        Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    smallest doc_id; all columns stay.
+
+    Of rows that share an id one stays for every set of shingles there is under it, so that
+    different texts never go for each other's sake; of repeated rows one stays.  Rows without
+    an id all stay, and so do empty and blank texts (one row of each under an id).
+    """
+    # The row goes along as a whole, so that no name of it meets those made here.
+    text_key = F.when(F.col("text").isNotNull(), F.sha2(F.col("text"), 256)).otherwise("null")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col("doc_id").cast("long").alias("doc_id"), "text", text_key.alias("text_key"),
+    )
+    classes = _classes(rows.select("doc_id", "text", "text_key"), words, percent)
+    chosen = (
+        classes.where(F.col("kept") & F.col("doc_id").isNotNull())
+        .groupBy("doc_id", F.coalesce(F.hex("set_key"), "text_key").alias("set"))
+        .agg(F.min("text_key").alias("text_key"))
+        .select("doc_id", "text_key")
     )
+    by = Window.partitionBy("doc_id", "text_key").orderBy(F.xxhash64("row"))
     first = (
-        named.join(ids, "doc_id", "left_semi")
-        .withColumn("_place", place)
-        .where(F.col("_place") == 1)
-        .select(*docs.columns)
+        rows.where(F.col("doc_id").isNotNull())
+        .join(chosen, ["doc_id", "text_key"], "left_semi")
+        .select("doc_id", "text_key", "row", F.row_number().over(by).alias("place"))
+        .where(F.col("place") == 1)
     )
-    return first.union(docs.where(F.col("doc_id").isNull()))
+    return first.select("row").union(
+        rows.where(F.col("doc_id").isNull()).select("row")
+    ).select("row.*")

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelloom.llm.common import id_text
+
 from panelloom.llm.word_tokens import word_tokenizer
 from panelloom.sources.shared import shared_folder
 
@@ -75,12 +77,14 @@ def write_ids(
     Null texts count as empty.  Rows without an id come first; rows that share an id stand
     side by side, ordered by a hash of their text.  Other columns are not read.
     """
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    slim = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
+    )
     by = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ranged = (
         slim.repartitionByRange(*by)
         .sortWithinPartitions(*by)
-        .select(F.spark_partition_id().alias("part"), "doc_id", "text")
+        .select(F.spark_partition_id().alias("part"), id_text("doc_id").alias("doc_id"), "text")
     )
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,15 +109,14 @@ def write_ids(
             )
 
         for batch in batches:
-            ids_of_docs = batch["doc_id"].astype("Int64")
             encoded = tokenizer.encode_all(batch["text"].tolist())
             for p, d, text, ids in zip(
-                batch["part"], ids_of_docs, batch["text"], encoded, strict=True
+                batch["part"], batch["doc_id"], batch["text"], encoded, strict=True
             ):
                 part = int(p)
                 ids = np.concatenate([ids, tail])
                 size = len(text.encode("utf-8", "replace")) if text else 0
-                rows.append((None if d is pd.NA else int(d), ids, size))
+                rows.append((None if d is None else int(d), ids, size))
                 held += len(ids)
                 if held >= ROW_IDS:
                     yield close()
@@ -155,10 +158,7 @@ def read_documents(files: DataFrame) -> DataFrame:
                     {
                         "part": r.part,
                         "row": r.row,
-                        "doc_id": pd.array(
-                            [None if d is None or d != d else int(d) for d in r.doc_ids],
-                            dtype="Int64",
-                        ),
+                        "doc_id": r.doc_ids,
                         "local": starts[:-1],
                         "n_bytes": np.asarray(r.n_bytes, np.int64),
                         "n_tokens": np.diff(starts),
@@ -170,15 +170,16 @@ def read_documents(files: DataFrame) -> DataFrame:
                 )
 
     schema = (
-        "part int, row int, doc_id long, local long, n_bytes long, n_tokens long, "
+        "part int, row int, doc_id string, local long, n_bytes long, n_tokens long, "
         "ids_crc32 long"
     )
     return (
-        files.mapInPandas(documents, schema)
+        files.withColumn("doc_ids", F.col("doc_ids").cast("array<string>"))
+        .mapInPandas(documents, schema)
         .join(rows, ["part", "row"])
         .join(parts, "part")
         .select(
-            "doc_id",
+            F.col("doc_id").cast("long").alias("doc_id"),
             (F.col("_part") + F.col("_row") + F.col("local")).alias("start"),
             "n_bytes",
             "n_tokens",

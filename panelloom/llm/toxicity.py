@@ -23,6 +23,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelloom.llm.common import id_text
+
 # The classifier is fitted on at most so many labelled texts of each kind, of at most so
 # many bytes each; they are chosen by a hash of the id.
 TRAIN_TOXIC, TRAIN_ORDINARY, TRAIN_BYTES = 2500, 6000, 1 << 15
@@ -248,7 +250,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | float:
         max(1.0, total.get(kind, 0) / most) for kind, most in ((0, TRAIN_ORDINARY), (1, TRAIN_TOXIC))
     )
     sample = parts[0].union(parts[1])
-    rows = texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).toPandas()
+    # Of texts that share an id, always the same one.
+    chosen = F.min(F.struct(F.xxhash64("text"), "text"))["text"]
+    rows = (
+        texts.join(F.broadcast(sample), "doc_id")
+        .groupBy("doc_id", "toxic")
+        .agg(chosen.alias("text"))
+        .toPandas()
+    )
     rows = rows.sort_values("doc_id", kind="stable")
     return fit(rows["text"].tolist(), rows["toxic"].tolist(), times)
 
@@ -269,13 +278,15 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
             texts = batch["text"].tolist()
             yield pd.DataFrame(
                 {
-                    "doc_id": batch["doc_id"].astype("Int64"),
+                    "doc_id": batch["doc_id"],
                     "score": scorer.scores(texts) if scorer else np.full(len(texts), model),
                 }
             )
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        score, "doc_id long, score double"
+    scored = (
+        docs.select(id_text("doc_id").alias("doc_id"), "text")
+        .mapInPandas(score, "doc_id string, score double")
+        .withColumn("doc_id", F.col("doc_id").cast("long"))
     )
     return scored.select(
         "doc_id",
