@@ -78,13 +78,14 @@ def write_ids(
     side by side, ordered by a hash of their text.  Other columns are not read.
     """
     slim = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+        F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("size"),
     )
     by = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ranged = (
         slim.repartitionByRange(*by)
         .sortWithinPartitions(*by)
-        .select(F.spark_partition_id().alias("part"), id_text("doc_id").alias("doc_id"), "text")
+        .select(F.spark_partition_id().alias("part"), id_text("doc_id").alias("doc_id"), "text", "size")
     )
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,12 +111,11 @@ def write_ids(
 
         for batch in batches:
             encoded = tokenizer.encode_all(batch["text"].tolist())
-            for p, d, text, ids in zip(
-                batch["part"], batch["doc_id"], batch["text"], encoded, strict=True
+            for p, d, size, ids in zip(
+                batch["part"], batch["doc_id"], batch["size"].tolist(), encoded, strict=True
             ):
                 part = int(p)
                 ids = np.concatenate([ids, tail])
-                size = len(text.encode("utf-8", "replace")) if text else 0
                 rows.append((None if d is None else int(d), ids, size))
                 held += len(ids)
                 if held >= ROW_IDS:
