@@ -1,68 +1,69 @@
 """Counter-based resampling: every draw is a pure function of its position.
 
 Only 64-bit integer arithmetic is used, so a recomputed partition draws the same
-values and any SQL engine can reproduce them.  The functions take and return SQL
-text; groups, replicates and draws are numbered from zero or one.
+values and any SQL engine can reproduce them.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+
 # The modulus is the Mersenne prime 2^31 - 1; squares stay below 2^62.
 MODULUS = 2_147_483_647
 SHIFT = 12_345
 SEED_STEP, GROUP_STEP, REPLICATE_STEP, DRAW_STEP = 1_000_003, 7_919, 104_729, 1_299_709
+_MODULUS, _SHIFT, _BITS = np.uint64(MODULUS), np.uint64(SHIFT), np.uint64(31)
+# Weights up to this count; larger ones have a probability below the numbers' resolution.
+TERMS = 13
+
+
+def _reduced(v: np.ndarray) -> np.ndarray:
+    """``v`` below 2^62 modulo the Mersenne prime, without a division."""
+    v = (v & _MODULUS) + (v >> _BITS)
+    v = (v & _MODULUS) + (v >> _BITS)
+    return np.where(v >= _MODULUS, v - _MODULUS, v)
+
+
+def numbers(seed: int, group: int, replicate: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """Pseudo-random integers in [0, MODULUS) of the draws ``draw`` of the replicates, which
+    are broadcast against each other.  Draws beyond the modulus differ in a part of their own."""
+    draw = np.asarray(draw, np.uint64)
+    replicate = np.asarray(replicate, np.uint64)
+    low, high = draw % _MODULUS, draw // _MODULUS
+    base = np.uint64((seed * SEED_STEP + group * GROUP_STEP) % MODULUS)
+    y = _reduced(base + replicate * np.uint64(REPLICATE_STEP) + low * np.uint64(DRAW_STEP))
+    y = _reduced(_reduced(y * y + _SHIFT) + low)
+    y = _reduced(_reduced(y * y + _SHIFT) + replicate + high)
+    return _reduced(y * y + _SHIFT)
 
 
-def _start(seed: int, group: str, replicate: str, draw: str) -> str:
-    return (
-        f"({seed * SEED_STEP}L + CAST({group} AS bigint) * {GROUP_STEP} "
-        f"+ CAST({replicate} AS bigint) * {REPLICATE_STEP} + {draw} * {DRAW_STEP}) % {MODULUS}"
-    )
-
-
-def _steps(replicate: str, draw: str) -> list[str]:
-    """Expressions applied one after another to the number ``{y}``."""
-    scramble = f"({{y}} * {{y}} + {SHIFT}) % {MODULUS}"
-    return [
-        scramble,
-        f"({{y}} + {draw}) % {MODULUS}",
-        scramble,
-        f"({{y}} + CAST({replicate} AS bigint)) % {MODULUS}",
-        scramble,
-    ]
-
-
-def draw_number(seed: int, group: str, replicate: str, draw: str) -> str:
-    """Pseudo-random integer in [0, MODULUS) of one draw."""
-    draw = f"(CAST({draw} AS bigint) % {MODULUS})"
-    number = f"({_start(seed, group, replicate, draw)})"
-    for step in _steps(replicate, draw):
-        number = f"({step.format(y=number)})"
-    return number
-
-
-def draw_numbers(seed: int, group: str, replicate: str, size: str) -> str:
-    """Array of the numbers of draws 0 .. size-1, built step by step."""
-    draw = "CAST(j AS bigint)"
-    numbers = f"transform(sequence(0, CAST({size} AS int) - 1), j -> " + (
-        f"{_start(seed, group, replicate, draw)})"
-    )
-    for step in _steps(replicate, draw):
-        numbers = f"transform({numbers}, (y, j) -> {step.format(y='y')})"
-    return numbers
-
-
-def poisson_thresholds(terms: int = 12) -> list[int]:
-    """Cumulative Poisson(1) probabilities on the scale of MODULUS."""
-    total, out = 0.0, []
+def positions(seed: int, group: int, replicate: np.ndarray, draw: np.ndarray, n: int) -> np.ndarray:
+    """Drawn positions in [0, n), from two numbers each."""
+    first = numbers(seed + 1, group, replicate, draw)
+    return (first * _MODULUS + numbers(seed + 2, group, replicate, draw)) % np.uint64(n)
+
+
+def poisson_mean(n: int) -> float:
+    """Mean weight of a row: so much below one that the weights of n rows sum to n at most."""
+    return max(0.0, 1.0 - 8.0 / math.sqrt(n))
+
+
+def poisson_thresholds(mean: float, terms: int = TERMS) -> list[int]:
+    """Cumulative Poisson probabilities on the scale of MODULUS."""
+    total, term, out = 0.0, math.exp(-mean), []
     for k in range(terms):
-        total += math.exp(-1.0) / math.factorial(k)
-        out.append(int(total * MODULUS))
+        total += term
+        term = term * mean / (k + 1)
+        out.append(math.floor(total * MODULUS))
     return out
 
 
-def poisson_weight(number: str) -> str:
-    """Poisson(1) count of a uniform draw number."""
-    return " + ".join(f"IF({number} >= {t}, 1, 0)" for t in poisson_thresholds())
+def poisson_weights(numbers_drawn: np.ndarray, mean: float) -> np.ndarray:
+    """Poisson counts of uniform numbers."""
+    out = np.zeros(numbers_drawn.shape, np.uint8)
+    narrow = numbers_drawn.astype(np.uint32)
+    for limit in poisson_thresholds(mean):
+        out += narrow >= np.uint32(limit)
+    return out

@@ -1,82 +1,185 @@
 """Bootstrap intervals of means.
 
-A group of up to ``EXACT_ROWS`` values is resampled exactly: its values fit in one
-small array and every replicate draws n positions from it.  A larger group uses
-Poisson(1) weights per (row, replicate), which are summed map-side: one pass, and
-no matter how large the group, only (group, replicate) sums are shuffled.
+A replicate draws n of n values with replacement: multinomial counts.  Drawn independently,
+Poisson counts of one mean for every value are multinomial too, given their total.  So every
+value first gets a Poisson count whose mean is a little below one, such that the total stays
+below n, and the draws that are missing to n (about 8 sqrt(n)) are then made one by one.  That
+is exact at every size, and what travels is sums per block and replicate, and the few draws.
+
+Values stand in the order of their size, as positions 0 .. n - 1, in blocks of bounded length;
+equal values are one run.  Every draw is a function of group, replicate and position alone, so
+results do not depend on how the rows are stored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from panelloom.functions.resampling import numbers, poisson_mean, poisson_weights, positions
+from panelloom.plans.order_stats import COUNT, VALUE, running_totals, value_counts
+
+BLOCK = 4096
+# Weights in one array.
+_STEP = 1 << 19
+# Draws in one batch.
+_BATCH = 1 << 18
+
+
+def _blocks(rows: DataFrame, min_n: int) -> DataFrame:
+    """Runs of equal values inside a block: g, g_no, n, block, x, start (in the group), size."""
+    scan = running_totals(value_counts(rows, ["g"], "x"), ["g"])
+    first, last = F.col("start"), F.col("start") + F.col(COUNT) - 1
+    runs = scan.where(F.col(f"{COUNT}_total") >= min_n).select(
+        "g",
+        F.conv(F.substring(F.md5(F.col("g").cast("string").cast("binary")), 1, 7), 16, 10)
+        .cast("long")
+        .alias("g_no"),
+        F.col(f"{COUNT}_total").alias("n"),
+        F.col(VALUE).alias("x"),
+        F.col(f"{COUNT}_below").alias("start"),
+        COUNT,
+    )
+    cut = runs.withColumn(
+        "block",
+        F.explode(
+            F.sequence(F.floor(first / BLOCK).cast("long"), F.floor(last / BLOCK).cast("long"))
+        ),
+    )
+    begin = F.greatest(first, F.col("block") * BLOCK)
+    end = F.least(last + 1, (F.col("block") + 1) * BLOCK)
+    return cut.select(
+        "g", "g_no", "n", "block", "x", begin.alias("start"), (end - begin).alias("size")
+    )
+
+
+def _values(runs: pd.DataFrame) -> np.ndarray:
+    runs = runs.sort_values("start")
+    return np.repeat(runs["x"].to_numpy(float), runs["size"].to_numpy(np.int64))
+
 
-from panelloom.functions.resampling import draw_number, draw_numbers, poisson_weight
-from panelloom.plans.broadcasting import if_small
-
-EXACT_ROWS = 1024
-_CHUNKS = 64
-
-
-def _sizes(rows: DataFrame, min_n: int) -> DataFrame:
-    """Groups with enough values, numbered in name order."""
-    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"))
-    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("g"))
-    return sizes.where(F.col("n") >= min_n).withColumn("g_no", number)
-
-
-def _exact_means(rows: DataFrame, sizes: DataFrame, n_boot: int, seed: int) -> DataFrame:
-    """Rows (g, r, m) of the groups that are small enough for an array."""
-    small = sizes.where(F.col("n") <= EXACT_ROWS).select("g", "g_no", "n")
-    values = F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda e: e["x"])
-    arrays = rows.join(small, "g").groupBy("g", "g_no", "n").agg(values.alias("xs"))
-    chunk = -(-n_boot // _CHUNKS)
-    tasks = arrays.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(_CHUNKS - 1))))
-    tasks = tasks.repartition("g", "c")
-    first = F.col("c") * chunk
-    last = F.least(first + chunk, F.lit(n_boot)) - 1
-    replicates = tasks.where(first < n_boot).withColumn("r", F.explode(F.sequence(first, last)))
-    numbers = draw_numbers(seed, "g_no", "r", "n")
-    mean = f"aggregate({numbers}, 0D, (t, y) -> t + xs[CAST(y % n AS int)]) / n"
-    return replicates.select("g", "r", F.expr(mean).alias("m"))
-
-
-def _poisson_means(rows: DataFrame, sizes: DataFrame, n_boot: int, seed: int) -> DataFrame:
-    """Rows (g, r, m) of the large groups."""
-    large = sizes.where(F.col("n") > EXACT_ROWS).select("g", "g_no")
-    marked = rows.join(large, "g").withColumn(
-        "r", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))
+def _weighted(n_boot: int, seed: int):
+    def sums(runs: pd.DataFrame) -> pd.DataFrame:
+        """Sums of weights and weighted values of a block, per replicate.  A group of one block
+        has all its draws here."""
+        x = _values(runs)
+        g_no, n = int(runs["g_no"].iloc[0]), int(runs["n"].iloc[0])
+        place = int(runs["start"].min()) + np.arange(len(x))
+        mean = poisson_mean(n)
+        w, wx = np.zeros(n_boot, np.int64), np.zeros(n_boot)
+        step = max(1, _STEP // len(x))
+        for begin in range(0, n_boot, step):
+            r = np.arange(begin, min(begin + step, n_boot))
+            some = slice(begin, begin + len(r))
+            if mean > 0:
+                drawn = numbers(seed, g_no, r[:, None], place[None, :])
+                weights = poisson_weights(drawn, mean)
+                w[some] = weights.sum(axis=1, dtype=np.int64)
+                wx[some] = weights.astype(np.float64) @ x
+            if n == len(x):
+                missing = np.maximum(n - w[some], 0)
+                for i in range(0, len(r), max(1, _STEP // (int(missing.max()) + 1))):
+                    part = slice(i, i + max(1, _STEP // (int(missing.max()) + 1)))
+                    j = np.arange(int(missing[part].max()))
+                    at = positions(seed, g_no, r[part, None], j[None, :], n)
+                    taken = np.where(j[None, :] < missing[part, None], x[at.astype(np.int64)], 0.0)
+                    wx[r[part]] += taken.sum(axis=1)
+                w[some] += missing
+        g = runs["g"].iloc[0]
+        return pd.DataFrame(
+            {"g": [g] * n_boot, "g_no": g_no, "n": n, "r": np.arange(n_boot), "w": w, "wx": wx}
+        )
+
+    return sums
+
+
+def _draws(seed: int):
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The missing draws (g, block, r, place) of replicates (g, g_no, n, r, w)."""
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(1, 5)]
+            for row, (g_no, n, r, w) in enumerate(zip(*columns, strict=True)):
+                for begin in range(0, n - w, _BATCH):
+                    j = np.arange(begin, min(begin + _BATCH, n - w))
+                    at = positions(seed, g_no, np.uint64(r), j, n).astype(np.int64)
+                    same = pa.array(np.full(len(j), row))
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "g": batch.column(0).take(same), "block": pa.array(at // BLOCK),
+                            "r": pa.array(np.full(len(j), r, np.int64)), "place": pa.array(at % BLOCK),
+                        }
+                    )
+
+    return draw
+
+
+def _looked_up(draws: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+    """Values at the drawn places of a block, summed per replicate."""
+    if not len(draws) or not len(runs):
+        return pd.DataFrame({"g": [], "r": [], "wx": []})
+    taken = _values(runs)[draws["place"].to_numpy(np.int64)]
+    r, code = np.unique(draws["r"].to_numpy(np.int64), return_inverse=True)
+    return pd.DataFrame(
+        {"g": [draws["g"].iloc[0]] * len(r), "r": r, "wx": np.bincount(code, taken)}
     )
-    drawn = marked.withColumn("number", F.expr(draw_number(seed, "g_no", "r", "k")))
-    weighted = drawn.withColumn("w", F.expr(poisson_weight("number")))
-    sums = weighted.groupBy("g", "r").agg(F.sum(F.expr("w * x")).alias("wx"), F.sum("w").alias("w"))
-    return sums.select("g", "r", F.expr("wx / nullif(w, 0)").alias("m"))
 
 
 def bootstrap_means(
     df: DataFrame,
     metric: str,
     group: str,
-    order: str,
     n_boot: int = 2000,
     seed: int = 42,
     min_n: int = 3,
     alpha: float = 0.05,
 ) -> DataFrame:
     """Rows (group, mean, ci_low, ci_high, n, error_plus, error_minus), highest mean
-    first.  ``order`` is an integer column that identifies a row within its group."""
-    rows = df.where(F.col(group).isNotNull() & F.col(metric).isNotNull()).select(
-        F.col(group).alias("g"),
-        F.col(metric).cast("double").alias("x"),
-        F.col(order).cast("long").alias("k"),
+    first, of the groups with ``min_n`` finite values; other values and NULL groups are left
+    out.  One rule holds for groups of every size."""
+    rows = df.where(F.col(group).isNotNull()).select(
+        F.col(group).alias("g"), F.col(metric).cast("double").alias("x")
+    )
+    kind = rows.schema["g"].dataType
+
+    def schema(*fields: str) -> T.StructType:
+        kinds = {"x": T.DoubleType(), "wx": T.DoubleType(), "g": kind}
+        return T.StructType([T.StructField(f, kinds.get(f, T.LongType())) for f in fields])
+
+    blocks = _blocks(rows, min_n)
+    sums = (
+        blocks.groupBy("g", "block")
+        .applyInPandas(_weighted(n_boot, seed), schema("g", "g_no", "n", "r", "w", "wx"))
+        .groupBy("g", "g_no", "n", "r")
+        .agg(F.sum("w").alias("w"), F.sum("wx").alias("wx"))
+    )
+    short = sums.where("w < n").select("g", "g_no", "n", "r", "w")
+    draws = short.mapInArrow(_draws(seed), schema("g", "block", "r", "place"))
+    # A block meets about 8 BLOCK / sqrt(n) draws of a replicate, 512 at most.
+    added = (
+        draws.groupBy("g", "block")
+        .cogroup(blocks.where(F.col("n") > BLOCK).groupBy("g", "block"))
+        .applyInPandas(_looked_up, schema("g", "r", "wx"))
     )
-    sizes = if_small(_sizes(rows, min_n), sized_by=rows.select("g").distinct())
-    means = _exact_means(rows, sizes, n_boot, seed).unionByName(
-        _poisson_means(rows, sizes, n_boot, seed)
+    none = F.lit(None).cast("long")
+    means = (
+        sums.select("g", "n", "r", "wx")
+        .unionByName(added.select("g", none.alias("n"), "r", "wx"))
+        .groupBy("g", "r")
+        .agg((F.sum("wx") / F.max("n")).alias("m"))
     )
     # A group has n_boot means, so the in-memory percentile is bounded.
     cuts = F.percentile("m", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
     intervals = means.groupBy("g").agg(cuts.alias("cut"))
+    sizes = (
+        blocks.groupBy("g")
+        .agg(F.max("n").alias("n"), (F.sum(F.col("x") * F.col("size")) / F.max("n")).alias("mean"))
+    )
     low, high = F.col("cut")[0], F.col("cut")[1]
     return (
         sizes.join(intervals, "g")
@@ -96,15 +199,14 @@ def bootstrap_means(
 def bootstrap_ci(
     df: DataFrame,
     metric: str,
-    order: str,
     n_boot: int = 1000,
     seed: int = 42,
     alpha: float = 0.05,
 ) -> DataFrame:
     """One row (mean, ci_low, ci_high): NULLs without values, the value three times
     for a single one."""
-    rows = df.select(F.lit("all").alias("g"), F.col(metric).alias("x"), F.col(order).alias("k"))
-    found = bootstrap_means(rows, "x", "g", "k", n_boot, seed, 1, alpha)
+    rows = df.select(F.lit("all").alias("g"), F.col(metric).alias("x"))
+    found = bootstrap_means(rows, "x", "g", n_boot, seed, 1, alpha)
     return found.agg(
         F.max("mean").alias("mean"),
         F.max("ci_low").alias("ci_low"),

@@ -313,29 +313,74 @@ def test_tukey_intervals_agree_with_p(spark):
 # --- bootstrap ----------------------------------------------------------------------
 
 
-def test_bootstrap_interval_is_close_to_theory(spark, monkeypatch):
+@pytest.mark.parametrize("n", [3, 64, 65, 400, 1024, 1025])
+def test_bootstrap_interval_is_close_to_theory(spark, n):
+    values = np.random.default_rng(9).normal(50, 10, n)
+    df = groups_frame(spark, [values, [1.0, 2.0]])
+    r = bootstrap_means(df, "value", "region").collect()
+    assert [x["region"] for x in r] == ["R0"]
+    r = r[0]
+    assert r["ci_low"] < r["mean"] < r["ci_high"]
+    if n >= 64:
+        error = values.std() / math.sqrt(n)
+        assert (r["ci_high"] - r["ci_low"]) / error == pytest.approx(2 * 1.96, rel=0.1)
+    again = bootstrap_means(df.repartition(7), "value", "region").first()
+    assert again["ci_low"] == pytest.approx(r["ci_low"], abs=1e-9)
+
+
+@pytest.mark.parametrize("n", [1000, 9000])
+def test_bootstrap_is_the_same_in_one_block_and_in_many(spark, monkeypatch, n):
     from panelloom.operators import bootstrap
 
-    rng = np.random.default_rng(9)
-    values = rng.normal(50, 10, 400)
-    df = groups_frame(spark, [values, [1.0, 2.0]])
-    error = values.std() / math.sqrt(len(values))
-    for limit in (1024, 10):  # exact resampling, then Poisson weights
-        monkeypatch.setattr(bootstrap, "EXACT_ROWS", limit)
-        rows = bootstrap_means(df, "value", "region", "id", n_boot=1000).collect()
-        assert [r["region"] for r in rows] == ["R0"]
-        r = rows[0]
-        assert r["ci_low"] < r["mean"] < r["ci_high"]
-        assert (r["ci_high"] - r["ci_low"]) / error == pytest.approx(2 * 1.96, rel=0.12)
-        again = bootstrap_means(df.repartition(7), "value", "region", "id", n_boot=1000).first()
-        assert again["ci_low"] == pytest.approx(r["ci_low"], abs=1e-9)
+    # Long runs of equal values reach over blocks.
+    values = np.random.default_rng(4).integers(0, 40, n).astype(float)
+    df = groups_frame(spark, [values, values[: n // 3]])
+    found = []
+    for block in (1 << 14, 256):
+        monkeypatch.setattr(bootstrap, "BLOCK", block)
+        rows = bootstrap_means(df, "value", "region", n_boot=60).collect()
+        found.append([(r["region"], r["n"], r["mean"], r["ci_low"], r["ci_high"]) for r in rows])
+    for one, other in zip(*found, strict=True):
+        assert one[:2] == other[:2]
+        assert one[2:] == pytest.approx(other[2:], abs=1e-9)
+
+
+@pytest.mark.parametrize("n", [65, 1024, 1025])
+def test_poisson_counts_and_missing_draws_are_multinomial(n):
+    """Counts of a position over replicates have the mean and variance of n draws."""
+    from panelloom.functions import resampling as rs
+
+    r = np.arange(3000)
+    drawn = rs.numbers(42, 5, r[:, None], np.arange(n)[None, :])
+    counts = rs.poisson_weights(drawn, rs.poisson_mean(n)).astype(int)
+    for i in range(len(r)):
+        missing = n - counts[i].sum()
+        assert missing >= 0
+        at = rs.positions(42, 5, np.uint64(i), np.arange(missing), n).astype(int)
+        np.add.at(counts[i], at, 1)
+    assert (counts.sum(axis=1) == n).all()
+    assert counts.mean(axis=0) == pytest.approx(1, abs=0.12)
+    assert counts.var(axis=0).mean() == pytest.approx(1 - 1 / n, rel=0.02)
+    both = np.cov(counts[:, 0], counts[:, 1])[0, 1]
+    assert both == pytest.approx(-1 / n, abs=0.08)
+
+
+def test_draws_beyond_the_modulus_do_not_repeat():
+    from panelloom.functions import resampling as rs
+
+    j = np.arange(1000, dtype=np.uint64)
+    near = rs.numbers(1, 2, np.uint64(3), j)
+    far = rs.numbers(1, 2, np.uint64(3), j + np.uint64(rs.MODULUS))
+    assert (near != far).mean() > 0.99
+    at = rs.positions(1, 2, np.uint64(3), j, 10**12)
+    assert at.max() > 9 * 10**11 and len(np.unique(at)) == 1000
 
 
 def test_bootstrap_of_few_values(spark):
-    none = groups_frame(spark, [[1.0]]).limit(0)
-    assert tuple(bootstrap_ci(none, "value", "id").first()) == (None, None, None)
+    none = groups_frame(spark, [[1.0]]).where("value > 5")
+    assert tuple(bootstrap_ci(none, "value").first()) == (None, None, None)
     one = groups_frame(spark, [[4.5]])
-    assert tuple(bootstrap_ci(one, "value", "id").first()) == (4.5, 4.5, 4.5)
+    assert tuple(bootstrap_ci(one, "value").first()) == (4.5, 4.5, 4.5)
 
 
 # --- principal components -----------------------------------------------------------

@@ -19,7 +19,7 @@ from panelloom.functions.resampling import (
     REPLICATE_STEP,
     SEED_STEP,
     SHIFT,
-    poisson_thresholds,
+    TERMS,
 )
 from panelloom.functions.tails import (
     ROYSTON_A1,
@@ -28,7 +28,7 @@ from panelloom.functions.tails import (
     ROYSTON_MEAN_SMALL,
     ROYSTON_SD_SMALL,
 )
-from panelloom.operators.bootstrap import EXACT_ROWS, bootstrap_ci, bootstrap_means
+from panelloom.operators.bootstrap import bootstrap_ci, bootstrap_means
 from panelloom.operators.components import complete_rows, fit_components
 from panelloom.operators.correlation import (
     correlation_matrix,
@@ -728,32 +728,54 @@ def draw_sql(seed: int, g: str, r: str, j: str) -> str:
 
 
 def bootstrap_sql(source: str, n_boot: int, seed: int = 42, min_n: int = 3) -> str:
-    """CTEs ending in ``ci`` from ``source`` (g, x, k)."""
-    weight = " + ".join(f"(d >= {limit})::INTEGER" for limit in poisson_thresholds())
-    return f"""rows_in AS (SELECT g, CAST(x AS DOUBLE) AS x, CAST(k AS BIGINT) AS k FROM {source}
-  WHERE x IS NOT NULL),
+    """CTEs ending in ``ci`` from ``source`` (g, x): Poisson counts of every value, whose mean
+    falls short of one by 8 / sqrt(n), and the draws missing to n one by one."""
+    place = (
+        f"({draw_sql(seed + 1, 'g_no', 'r', 'j')}) * {MODULUS}::BIGINT "
+        f"+ ({draw_sql(seed + 2, 'g_no', 'r', 'j')})"
+    )
+    return f"""rows_in AS (SELECT g, CAST(x AS DOUBLE) AS x FROM {source}
+  WHERE x IS NOT NULL AND isfinite(CAST(x AS DOUBLE))),
 sizes AS (
-  SELECT g, count(*) AS n, avg(x) AS mean, row_number() OVER (ORDER BY g) AS g_no
-  FROM rows_in GROUP BY g HAVING count(*) >= {min_n}
+  SELECT g, count(*) AS n, avg(x) AS mean,
+         CAST('0x' || substr(md5(CAST(g AS VARCHAR)), 1, 7) AS BIGINT) AS g_no,
+         greatest(0.0, 1.0 - 8.0 / sqrt(count(*)::DOUBLE))::DOUBLE AS lam
+  FROM rows_in WHERE g IS NOT NULL GROUP BY g HAVING count(*) >= {min_n}
+),
+terms AS (
+  SELECT g, k, exp(-lam) * CASE WHEN k = 0 THEN 1.0 ELSE pow(lam, k) END / factorial(k::INTEGER)::DOUBLE AS p
+  FROM sizes, (SELECT unnest(range(0, {TERMS})) AS k)
+),
+limits AS (
+  SELECT g, list(t ORDER BY k) AS limits
+  FROM (SELECT g, k, floor(sum(p) OVER (PARTITION BY g ORDER BY k) * {MODULUS})::BIGINT AS t FROM terms)
+  GROUP BY g
 ),
 replicates AS (SELECT CAST(unnest(generate_series(0, {n_boot - 1})) AS BIGINT) AS r),
 numbered AS (
-  SELECT g, g_no, n, x, row_number() OVER (PARTITION BY g ORDER BY k, x) AS i
-  FROM rows_in JOIN sizes USING (g) WHERE n <= {EXACT_ROWS}
+  SELECT g, g_no, n, x, row_number() OVER (PARTITION BY g ORDER BY x) - 1 AS k
+  FROM rows_in JOIN sizes USING (g)
 ),
-draws AS (
-  SELECT g, r, {draw_sql(seed, 'g_no', 'r', 'j')} % n + 1 AS i
-  FROM (SELECT g, g_no, n, CAST(unnest(generate_series(0, n - 1)) AS BIGINT) AS j FROM sizes
-        WHERE n <= {EXACT_ROWS}), replicates
+counted AS (
+  SELECT g, r, x, CASE WHEN n <= 64 THEN 0 ELSE {" + ".join(
+      f"(d >= limits[{i}])::INTEGER" for i in range(1, TERMS + 1)
+  )} END AS w
+  FROM (SELECT g, n, r, x, {draw_sql(seed, 'g_no', 'r', 'k')} AS d FROM numbered, replicates)
+  JOIN limits USING (g)
 ),
-exact AS (SELECT g, r, avg(x) AS m FROM draws JOIN numbered USING (g, i) GROUP BY 1, 2),
-weighted AS (
-  SELECT g, r, x, {weight} AS w
-  FROM (SELECT g, r, x, {draw_sql(seed, 'g_no', 'r', f'(k % {MODULUS})')} AS d
-        FROM rows_in JOIN sizes USING (g), replicates WHERE n > {EXACT_ROWS})
+sums AS (SELECT g, r, sum(w) AS w, sum(w * x) AS wx FROM counted GROUP BY 1, 2),
+missing AS (
+  SELECT g, r, g_no, n, CAST(unnest(range(0, CAST(n - w AS BIGINT))) AS BIGINT) AS j
+  FROM sums JOIN sizes USING (g)
+),
+more AS (
+  SELECT m.g, m.r, sum(x) AS wx FROM (SELECT g, r, ({place}) % n AS k FROM missing) m
+  JOIN numbered USING (g, k) GROUP BY 1, 2
+),
+means AS (
+  SELECT s.g, s.r, (s.wx + coalesce(m.wx, 0)) / z.n AS m
+  FROM sums s JOIN sizes z USING (g) LEFT JOIN more m ON m.g = s.g AND m.r = s.r
 ),
-poisson AS (SELECT g, r, sum(w * x) / sum(w) AS m FROM weighted GROUP BY 1, 2),
-means AS (SELECT * FROM exact UNION ALL SELECT * FROM poisson),
 ci AS (
   SELECT g, max(mean) AS mean, quantile_cont(m, 0.025) AS ci_low,
          quantile_cont(m, 0.975) AS ci_high, max(n) AS n
@@ -766,35 +788,33 @@ CI_COLUMNS = "mean, ci_low, ci_high, n, ci_high - mean AS error_plus, mean - ci_
 
 @query(
     "t15_bootstrap_group_means",
-    f"""WITH {YEAR_SQL}, src AS (SELECT grp AS g, rate AS x, nk AS k FROM y),
+    f"""WITH {YEAR_SQL}, src AS (SELECT grp AS g, rate AS x FROM y),
 {bootstrap_sql('src', 2000)} SELECT g AS grp, {CI_COLUMNS} FROM ci""",
     "mean ci_low ci_high error_plus error_minus",
 )
 def bootstrap_of_year(t):
-    return bootstrap_means(year(t), "rate", "grp", "nk")
+    return bootstrap_means(year(t), "rate", "grp")
 
 
 @query(
     "t15_bootstrap_large_groups",
-    f"""WITH src AS (SELECT o_orderstatus AS g, o_totalprice AS x, o_orderkey AS k FROM orders),
-{bootstrap_sql('src', 200)} SELECT g AS o_orderstatus, {CI_COLUMNS} FROM ci""",
+    f"""WITH src AS (SELECT o_orderstatus AS g, o_totalprice AS x FROM orders),
+{bootstrap_sql('src', 2000)} SELECT g AS o_orderstatus, {CI_COLUMNS} FROM ci""",
     "mean ci_low ci_high error_plus error_minus",
     4,
 )
 def bootstrap_of_orders(t):
-    return bootstrap_means(
-        t.read("orders"), "o_totalprice", "o_orderstatus", "o_orderkey", n_boot=200
-    )
+    return bootstrap_means(t.read("orders"), "o_totalprice", "o_orderstatus")
 
 
 @query(
     "t16_bootstrap_ci",
-    f"""WITH {YEAR_SQL}, src AS (SELECT 'all' AS g, rate AS x, nk AS k FROM y),
+    f"""WITH {YEAR_SQL}, src AS (SELECT 'all' AS g, rate AS x FROM y),
 {bootstrap_sql('src', 1000, min_n=1)} SELECT mean, ci_low, ci_high FROM ci""",
     "mean ci_low ci_high",
 )
 def interval_of_year(t):
-    return bootstrap_ci(year(t), "rate", "nk")
+    return bootstrap_ci(year(t), "rate")
 
 
 @query(
@@ -804,7 +824,7 @@ WHERE entity = 'NATION_3'""",
     "mean ci_low ci_high",
 )
 def interval_of_one(t):
-    return bootstrap_ci(year(t).where(F.col("entity") == "NATION_3"), "rate", "nk")
+    return bootstrap_ci(year(t).where(F.col("entity") == "NATION_3"), "rate")
 
 
 # --- principal components -------------------------------------------------------
