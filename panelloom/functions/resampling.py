@@ -21,9 +21,13 @@ TERMS = 13
 
 def _reduced(v: np.ndarray) -> np.ndarray:
     """``v`` below 2^62 modulo the Mersenne prime, without a division."""
-    v = (v & _MODULUS) + (v >> _BITS)
-    v = (v & _MODULUS) + (v >> _BITS)
-    return np.where(v >= _MODULUS, v - _MODULUS, v)
+    out = v & _MODULUS
+    out += v >> _BITS
+    high = out >> _BITS
+    out &= _MODULUS
+    out += high
+    np.subtract(out, _MODULUS, out=out, where=out == _MODULUS)
+    return out
 
 
 def numbers(seed: int, group: int, replicate: np.ndarray, draw: np.ndarray) -> np.ndarray:

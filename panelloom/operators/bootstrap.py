@@ -27,7 +27,7 @@ from panelloom.plans.order_stats import COUNT, VALUE, running_totals, value_coun
 
 BLOCK = 4096
 # Weights in one array.
-_STEP = 1 << 19
+_STEP = 1 << 16
 # Draws in one batch.
 _BATCH = 1 << 18
 
@@ -101,30 +101,58 @@ def _weighted(n_boot: int, seed: int):
 
 def _draws(seed: int):
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The missing draws (g, block, r, place) of replicates (g, g_no, n, r, w)."""
+        """The missing draws of replicates (g, g_no, n, r, w, ..), one row for those of a block
+        that are made together: g, block, rs and places."""
         for batch in batches:
+            names = batch.column(0)
             columns = [batch.column(i).to_pylist() for i in range(1, 5)]
+            held: dict[tuple[int, int], list[tuple[int, np.ndarray, np.ndarray]]] = {}
+            size = 0
             for row, (g_no, n, r, w) in enumerate(zip(*columns, strict=True)):
                 for begin in range(0, n - w, _BATCH):
                     j = np.arange(begin, min(begin + _BATCH, n - w))
                     at = positions(seed, g_no, np.uint64(r), j, n).astype(np.int64)
-                    same = pa.array(np.full(len(j), row))
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "g": batch.column(0).take(same), "block": pa.array(at // BLOCK),
-                            "r": pa.array(np.full(len(j), r, np.int64)), "place": pa.array(at % BLOCK),
-                        }
-                    )
+                    held.setdefault((g_no, n), []).append((row, np.full(len(j), r), at))
+                    size += len(j)
+                    if size > _BATCH:
+                        yield from _by_block(names, held)
+                        held, size = {}, 0
+            yield from _by_block(names, held)
 
     return draw
 
 
+def _by_block(names: pa.Array, held: dict) -> Iterator[pa.RecordBatch]:
+    for parts in held.values():
+        # Groups of one number and size are told apart by their first row's name.
+        by_name: dict[object, list] = {}
+        for part in parts:
+            by_name.setdefault(names[part[0]].as_py(), []).append(part)
+        for some in by_name.values():
+            r = np.concatenate([p[1] for p in some])
+            at = np.concatenate([p[2] for p in some])
+            order = np.argsort(at // BLOCK, kind="stable")
+            r, at = r[order], at[order]
+            cuts = np.flatnonzero(np.append(True, np.diff(at // BLOCK) != 0))
+            offsets = pa.array(np.append(cuts, len(at)).astype(np.int32))
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "g": names.take(pa.array([some[0][0]] * len(cuts))),
+                    "block": pa.array(at[cuts] // BLOCK),
+                    "rs": pa.ListArray.from_arrays(offsets, pa.array(r.astype(np.int32))),
+                    "places": pa.ListArray.from_arrays(
+                        offsets, pa.array((at % BLOCK).astype(np.int32))
+                    ),
+                }
+            )
+
+
 def _looked_up(draws: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
     """Values at the drawn places of a block, summed per replicate."""
     if not len(draws) or not len(runs):
         return pd.DataFrame({"g": [], "r": [], "wx": []})
-    taken = _values(runs)[draws["place"].to_numpy(np.int64)]
-    r, code = np.unique(draws["r"].to_numpy(np.int64), return_inverse=True)
+    taken = _values(runs)[np.concatenate(draws["places"].to_numpy())]
+    r, code = np.unique(np.concatenate(draws["rs"].to_numpy()), return_inverse=True)
     return pd.DataFrame(
         {"g": [draws["g"].iloc[0]] * len(r), "r": r, "wx": np.bincount(code, taken)}
     )
@@ -148,30 +176,39 @@ def bootstrap_means(
     kind = rows.schema["g"].dataType
 
     def schema(*fields: str) -> T.StructType:
-        kinds = {"x": T.DoubleType(), "wx": T.DoubleType(), "g": kind}
+        numbers_of = T.ArrayType(T.IntegerType())
+        kinds = {"wx": T.DoubleType(), "g": kind, "rs": numbers_of, "places": numbers_of}
         return T.StructType([T.StructField(f, kinds.get(f, T.LongType())) for f in fields])
 
     blocks = _blocks(rows, min_n)
+    # A block costs its task work for every replicate, whatever its bytes, so the number of
+    # tasks is given.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sums = (
-        blocks.groupBy("g", "block")
+        blocks.repartition(tasks, "g", "block")
+        .groupBy("g", "block")
         .applyInPandas(_weighted(n_boot, seed), schema("g", "g_no", "n", "r", "w", "wx"))
         .groupBy("g", "g_no", "n", "r")
         .agg(F.sum("w").alias("w"), F.sum("wx").alias("wx"))
     )
-    short = sums.where("w < n").select("g", "g_no", "n", "r", "w")
-    draws = short.mapInArrow(_draws(seed), schema("g", "block", "r", "place"))
+    # Both uses take all columns of the sums, so that Spark reuses their one exchange.
+    short = sums.where("w < n").select("g", "g_no", "n", "r", "w", "wx")
+    draws = short.mapInArrow(_draws(seed), schema("g", "block", "rs", "places"))
     # A block meets about 8 BLOCK / sqrt(n) draws of a replicate, 512 at most.
     added = (
-        draws.groupBy("g", "block")
-        .cogroup(blocks.where(F.col("n") > BLOCK).groupBy("g", "block"))
+        draws.repartition(tasks, "g", "block")
+        .groupBy("g", "block")
+        .cogroup(
+            blocks.where(F.col("n") > BLOCK).repartition(tasks, "g", "block").groupBy("g", "block")
+        )
         .applyInPandas(_looked_up, schema("g", "r", "wx"))
     )
     none = F.lit(None).cast("long")
     means = (
-        sums.select("g", "n", "r", "wx")
-        .unionByName(added.select("g", none.alias("n"), "r", "wx"))
+        sums.select("g", "n", "r", "w", "wx")
+        .unionByName(added.select("g", none.alias("n"), "r", none.alias("w"), "wx"))
         .groupBy("g", "r")
-        .agg((F.sum("wx") / F.max("n")).alias("m"))
+        .agg(F.when(F.max("w") >= 0, F.sum("wx") / F.max("n")).alias("m"))
     )
     # A group has n_boot means, so the in-memory percentile is bounded.
     cuts = F.percentile("m", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
