@@ -1,8 +1,7 @@
 """Comparing groups: assumptions, omnibus tests, effect sizes and post-hoc tests.
 
 All statistics come from three small tables: moments per group, medians per group,
-and counts per distinct value.  No group is ever gathered in one task, except the
-at most 5,000 observations that Shapiro-Wilk is defined on here.
+and counts per distinct value.  No group is ever gathered in one task.
 """
 
 from __future__ import annotations
@@ -39,8 +38,11 @@ from panelloom.plans.order_stats import (
     value_counts,
 )
 
+# Royston's approximation of p was fitted up to this size.
 SHAPIRO_ROWS = 5000
 _SALTS = 1024
+# Equal values that are placed together.
+_SEGMENT = 4096
 # Groups handled by one value scan of the pairwise test.
 _GROUP_BLOCK = 32
 
@@ -169,36 +171,45 @@ def delta_label(delta: Column) -> Column:
     )
 
 
-def shapiro_statistic(df: DataFrame, metric: str, group: str, order: str) -> DataFrame:
-    """Rows (group, n, w, note) by Royston's approximation.
+def shapiro_statistic(
+    df: DataFrame, metric: str, group: str, order: str | None = None, first: int | None = None
+) -> DataFrame:
+    """Rows (group, n, w, note) by Royston's approximation, over all finite values.
 
-    Above 5,000 observations the first 5,000 by ``order`` are used.  A sketch of the
-    order column drops most other rows of a large group before anything is
-    shuffled; the rest are ranked in two steps, first inside salted parts of a group.
+    No group is gathered: positions of the values come from the scan of the distinct values,
+    runs of equal values are cut into bounded segments, and sums over positions give the
+    statistic.  With ``first`` only so many values of each group are used, the first by
+    ``order`` (NULLs last, ties by value).
     """
     rows = df.where(F.col(group).isNotNull()).select(
-        group, F.col(order).alias("_order"), finite(F.col(metric)).alias("_x")
+        group,
+        (F.lit(None) if order is None else F.col(order)).alias("_order"),
+        finite(F.col(metric)).alias("_x"),
     )
     sizes = rows.groupBy(group).agg(F.count("_x").alias("n"))
-    rows = _early_rows(rows.where(F.col("_x").isNotNull()), group)
-    by_order = ["_order", "_x"]
-    salt = F.pmod(F.xxhash64("_order", "_x"), F.lit(_SALTS)).alias("_salt")
-    salted = Window.partitionBy(group, "_salt").orderBy(*by_order)
-    whole = Window.partitionBy(group).orderBy(*by_order)
-    sample = (
-        rows.select("*", salt)
-        .withColumn("_i", F.row_number().over(salted))
-        .where(F.col("_i") <= SHAPIRO_ROWS)
-        .withColumn("_i", F.row_number().over(whole))
-        .where(F.col("_i") <= SHAPIRO_ROWS)
+    known = rows.where(F.col("_x").isNotNull())
+    if first is not None:
+        known = _first_rows(known, group, first)
+    counts = value_counts(known, [group], "_x")
+    means = counts.groupBy(group).agg(
+        (F.sum(F.col(VALUE) * F.col(COUNT)) / F.sum(COUNT)).alias("_mean")
     )
-    in_group = Window.partitionBy(group)
-    placed = sample.withColumns(
-        {
-            "_i": F.row_number().over(in_group.orderBy("_x")),
-            "_size": F.count(F.lit(1)).over(in_group),
-            "_mean": F.avg("_x").over(in_group),
-        }
+    below, ties = F.col(f"{COUNT}_below"), F.col(COUNT)
+    segment = F.col("_segment") * _SEGMENT
+    placed = (
+        running_totals(counts, [group])
+        .join(means, group)
+        .withColumn(
+            "_segment",
+            F.explode(F.sequence(F.lit(0).cast("long"), F.floor((ties - 1) / _SEGMENT))),
+        )
+        .withColumn(
+            "_i",
+            F.explode(
+                F.sequence(below + segment + 1, below + F.least(ties, segment + _SEGMENT))
+            ),
+        )
+        .withColumnsRenamed({VALUE: "_x", f"{COUNT}_total": "_size"})
     )
     scored = placed.select(
         group,
@@ -224,40 +235,31 @@ def shapiro_statistic(df: DataFrame, metric: str, group: str, order: str) -> Dat
     )
     found = _royston_statistic(sums).select(group, "w")
     n = F.col("n")
-    note = (
-        F.when(n < 3, "Too few observations")
-        .when(n > SHAPIRO_ROWS, f"First {SHAPIRO_ROWS} observations used")
-        .otherwise("")
-    )
+    note = F.when(n < 3, "Too few observations")
+    if first is not None:
+        note = note.when(n > first, f"First {first} observations used")
+    used = n if first is None else F.least(n, F.lit(first))
+    note = note.when(used > SHAPIRO_ROWS, f"p is approximate above {SHAPIRO_ROWS} observations")
     return sizes.join(found, group, "left").select(
-        group, "n", F.when(n >= 3, F.col("w")).alias("w"), note.alias("note")
+        group, "n", F.when(n >= 3, F.col("w")).alias("w"), note.otherwise("").alias("note")
     )
 
 
-def _early_rows(rows: DataFrame, group: str) -> DataFrame:
-    """Rows of each group up to a position safely past the first 5,000.
-
-    The quantile sketch is off by at most 1/10,000 of the group; the position taken
-    leaves ten times that.  Small groups stay whole, as do non-numeric orders.
-    """
-    if not isinstance(rows.schema["_order"].dataType, T.NumericType):
-        return rows
-    shares = [0.002, 0.02, 0.2]
-    cuts = rows.groupBy(group).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_order", shares, 10_000).alias("_cuts"),
-    )
-    needed = F.lit(float(SHAPIRO_ROWS)) / F.col("_n") + 0.001
-    cut = F.lit(None)
-    for i, share in reversed(list(enumerate(shares))):
-        cut = F.when(needed <= share, F.col("_cuts")[i]).otherwise(cut)
-    cuts = if_small(
-        cuts.select(group, cut.alias("_cut")), sized_by=rows.select(group).distinct()
-    )
-    kept = rows.join(cuts, group).where(
-        F.col("_cut").isNull() | (F.col("_order") <= F.col("_cut"))
+def _first_rows(rows: DataFrame, group: str, first: int) -> DataFrame:
+    """The first rows of each group by order and value: ranked inside salted parts of a group,
+    whose first rows are ranked together."""
+    by_order = [F.col("_order").asc_nulls_last(), F.col("_x")]
+    salt = F.pmod(F.xxhash64("_order", "_x"), F.lit(_SALTS)).alias("_salt")
+    salted = Window.partitionBy(group, "_salt").orderBy(*by_order)
+    whole = Window.partitionBy(group).orderBy(*by_order)
+    return (
+        rows.select("*", salt)
+        .withColumn("_i", F.row_number().over(salted))
+        .where(F.col("_i") <= first)
+        .withColumn("_i", F.row_number().over(whole))
+        .where(F.col("_i") <= first)
+        .select(group, "_x")
     )
-    return kept.drop("_cut")
 
 
 def _royston_statistic(sums: DataFrame) -> DataFrame:
@@ -296,10 +298,12 @@ def _royston_statistic(sums: DataFrame) -> DataFrame:
     return rows.withColumn("w", F.coalesce(w, F.lit(1.0)))
 
 
-def shapiro_by_group(df: DataFrame, metric: str, group: str, order: str) -> DataFrame:
+def shapiro_by_group(
+    df: DataFrame, metric: str, group: str, order: str | None = None, first: int | None = None
+) -> DataFrame:
     """Rows (group, n, w, p_value, normal_05, note), ordered by group."""
-    rows = shapiro_statistic(df, metric, group, order)
-    used = F.least(F.col("n"), F.lit(SHAPIRO_ROWS))
+    rows = shapiro_statistic(df, metric, group, order, first)
+    used = F.col("n") if first is None else F.least(F.col("n"), F.lit(first))
     rows = rows.withColumn("p_value", shapiro_p_value(F.col("w"), used))
     rows = rows.withColumn("normal_05", F.col("p_value") >= 0.05)
     return rows.select(group, "n", "w", "p_value", "normal_05", "note").orderBy(group)
@@ -526,15 +530,17 @@ DECISION_SCHEMA = (
 
 
 def select_group_test(
-    df: DataFrame, metric: str, group: str, order: str, alpha: float = 0.05
+    df: DataFrame, metric: str, group: str, order: str, alpha: float = 0.05,
+    shapiro_first: int | None = SHAPIRO_ROWS,
 ) -> GroupTestResult:
     """Choose ANOVA or Kruskal-Wallis from the diagnostics, then the post-hoc test.
 
     ANOVA needs a Shapiro p of at least alpha in every group and a Levene p of at
-    least alpha.  Only rows per group reach the driver.
+    least alpha, by the first ``shapiro_first`` values of a group (None: all).  Only rows
+    per group reach the driver.
     """
     spark = df.sparkSession
-    diagnostics = shapiro_by_group(df, metric, group, order)
+    diagnostics = shapiro_by_group(df, metric, group, order, shapiro_first)
     shapiro = diagnostics.select("n", "p_value").collect()
     k = sum(1 for r in shapiro if r["n"] >= 2)
     if k < 2:

@@ -249,15 +249,69 @@ def test_shapiro_published_example(spark):
     assert got["R3"]["w"] == pytest.approx(4.5 / (14 / 3), abs=1e-9)
 
 
-def test_shapiro_uses_the_first_5000_by_order(spark):
-    df = spark.range(5600).select(
-        F.col("id"), F.lit("g").alias("region"),
-        F.when(F.col("id") < 5000, (F.col("id") * 7919 % 5003).cast("double"))
-        .otherwise(1e9).alias("value"),
-    )
-    row = shapiro_statistic(df, "value", "region", "id").first()
-    assert row["n"] == 5600 and row["note"] == "First 5000 observations used"
-    assert 0.93 < row["w"] < 0.97
+def royston(values):
+    """The statistic of sorted values, one by one."""
+    from statistics import NormalDist
+
+    from panelloom.functions.tails import ROYSTON_A1, ROYSTON_A2
+
+    x = np.sort(np.asarray(values, float))
+    n = len(x)
+    m = np.array([NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    u, a = 1 / math.sqrt(n), m.copy()
+    a[-1] = sum(c * u**k for k, c in enumerate(ROYSTON_A1)) + m[-1] / math.sqrt(m @ m)
+    a[-2] = sum(c * u**k for k, c in enumerate(ROYSTON_A2)) + m[-2] / math.sqrt(m @ m)
+    inner = (m @ m - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * a[-1] ** 2 - 2 * a[-2] ** 2)
+    a[2:-2] = m[2:-2] / math.sqrt(inner)
+    a[0], a[1] = -a[-1], -a[-2]
+    return (a @ x) ** 2 / ((x - x.mean()) ** 2).sum()
+
+
+@pytest.mark.parametrize("first", [None, 5000, 5599, 5600])
+def test_shapiro_over_all_or_the_first_rows(spark, monkeypatch, first):
+    from panelloom.operators import group_tests
+
+    # Runs of equal values are longer than a segment; the order of some rows is unknown.
+    monkeypatch.setattr(group_tests, "_SEGMENT", 16)
+    values = [float(i * 7919 % 97) if i < 5000 else 300.0 + i % 3 for i in range(5600)]
+    rows = [(i if i < 5500 else None, "g", v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "id long, region string, value double").repartition(5)
+    row = shapiro_statistic(df, "value", "region", "id", first).first()
+    late = sorted(values[5500:])
+    used = values[:5500] + late if first is None else (values[:5500] + late)[:first]
+    assert row["n"] == 5600
+    assert row["w"] == pytest.approx(royston(used), abs=1e-9)
+    cut = first is not None and first < 5600
+    assert row["note"].startswith(f"First {first}" if cut else "p is approximate")
+
+
+@pytest.mark.parametrize("m,n", [(1, 7), (2, 5), (3, 40), (8, 9), (8, 60)])
+def test_exact_tail_of_a_small_side_counts_placements(m, n):
+    from itertools import combinations as choose
+
+    from panelloom.functions import tails
+
+    if math.comb(m + n, m) < 20_000:
+        us = [sum(p) - m * (m - 1) // 2 for p in choose(range(m + n), m)]
+        for u in range(m * n + 1):
+            assert tails._placements_up_to(m, n, u) == sum(x <= u for x in us)
+    assert tails._placements_up_to(m, n, m * n) == math.comb(m + n, m)
+    middle = m * n // 2
+    assert tails._placements_up_to(m, n, middle) + tails._placements_up_to(
+        m, n, m * n - middle - 1
+    ) == math.comb(m + n, m)
+
+
+def test_exact_tail_beside_a_side_of_any_size():
+    from panelloom.functions import tails
+
+    # Just below and above fifty million pairs, and far beyond: one rule.
+    near = [tails.mann_whitney_p(0.12 * 5 * n, 5, n, 0) for n in (9_999_999, 10_000_001, 10**8)]
+    assert near == pytest.approx([near[0]] * 3, rel=1e-5)
+    assert tails.mann_whitney_p(5 * 10**8, 5, 10**8, 0) == 2 / math.comb(10**8 + 5, 5)
+    # Five uniform places: U / n tends to their sum.
+    total = sum((-1) ** k * math.comb(5, k) * max(0.6 - k, 0) ** 5 for k in range(6)) / math.factorial(5)
+    assert near[2] == pytest.approx(2 * total, rel=1e-5)
 
 
 def test_anova_and_kruskal_by_hand(spark):

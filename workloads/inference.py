@@ -302,11 +302,16 @@ def normal_sf_sql(z: str) -> str:
     )
 
 
-def shapiro_sql(source: str, group: str, metric: str, order: str, name: str) -> str:
+def shapiro_sql(
+    source: str, group: str, metric: str, order: str, name: str, first: int | None = None
+) -> str:
     """CTEs ending in ``name`` (group, n, w, note)."""
     expected = normal_quantile_sql("((i - 0.375::DOUBLE) / (m_n + 0.25::DOUBLE))")
     a1 = poly_sql(ROYSTON_A1, "u")
     a2 = poly_sql(ROYSTON_A2, "u")
+    note = "CASE WHEN max(n) > 5000 THEN 'p is approximate above 5000 observations' ELSE '' END"
+    if first is not None:
+        note = f"CASE WHEN max(n) > {first} THEN 'First {first} observations used' ELSE '' END"
     return f"""{name}_0 AS (
   SELECT {group} AS g, {metric} AS x,
     row_number() OVER (PARTITION BY {group} ORDER BY {order}, {metric}) AS k,
@@ -315,7 +320,7 @@ def shapiro_sql(source: str, group: str, metric: str, order: str, name: str) ->
 ),
 {name}_1 AS (
   SELECT g, x, n, row_number() OVER (PARTITION BY g ORDER BY x) AS i,
-         count(*) OVER (PARTITION BY g) AS m_n FROM {name}_0 WHERE k <= 5000
+         count(*) OVER (PARTITION BY g) AS m_n FROM {name}_0 {'' if first is None else f'WHERE k <= {first}'}
 ),
 {name}_2 AS (SELECT *, {expected} AS m, 1 / sqrt(m_n::DOUBLE) AS u FROM {name}_1),
 {name}_3 AS (
@@ -338,7 +343,7 @@ def shapiro_sql(source: str, group: str, metric: str, order: str, name: str) ->
 ),
 {name} AS (
   SELECT g, max(n) AS n, pow(sum(a * (x - mean)), 2) / sum(pow(x - mean, 2)) AS w,
-    CASE WHEN max(n) > 5000 THEN 'First 5000 observations used' ELSE '' END AS note
+    {note} AS note
   FROM {name}_6 GROUP BY g
 )"""
 
@@ -350,17 +355,28 @@ def shapiro_small_p_sql(w: str, n: str) -> str:
     return normal_sf_sql(z)
 
 
+SEQUENCE = "l_orderkey * 10 + l_linenumber"
+
+
 @query(
     "t8_shapiro_statistic",
-    f"""WITH {shapiro_sql('lineitem', 'l_returnflag', 'l_extendedprice',
-                          'l_orderkey * 10 + l_linenumber', 'sw')}
+    f"""WITH {shapiro_sql('lineitem', 'l_returnflag', 'l_extendedprice', SEQUENCE, 'sw')}
 SELECT g AS l_returnflag, n, w, note FROM sw""",
     "w",
 )
 def shapiro_of_items(t):
-    seq = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    rows = t.read("lineitem").withColumn("seq", seq)
-    return shapiro_statistic(rows, "l_extendedprice", "l_returnflag", "seq")
+    return shapiro_statistic(t.read("lineitem"), "l_extendedprice", "l_returnflag")
+
+
+@query(
+    "t8_shapiro_first_rows",
+    f"""WITH {shapiro_sql('lineitem', 'l_returnflag', 'l_extendedprice', SEQUENCE, 'sw', 5000)}
+SELECT g AS l_returnflag, n, w, note FROM sw""",
+    "w",
+)
+def shapiro_of_first_items(t):
+    rows = t.read("lineitem").withColumn("seq", F.expr(SEQUENCE))
+    return shapiro_statistic(rows, "l_extendedprice", "l_returnflag", "seq", first=5000)
 
 
 @query(
