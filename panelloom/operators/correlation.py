@@ -10,14 +10,7 @@ from pyspark.sql import functions as F
 
 from panelloom.functions.cells import finite
 from panelloom.functions.tails import correlation_p_value
-from panelloom.plans.broadcasting import BROADCAST_ROWS, distinct_counts
-from panelloom.plans.order_stats import (
-    COUNT,
-    VALUE,
-    average_rank,
-    running_totals,
-    value_counts,
-)
+from panelloom.plans.order_stats import VALUE, average_rank, running_totals
 
 
 def _finite_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -25,31 +18,45 @@ def _finite_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def _partner_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Add ``<a>|<b>``: rank of a among the rows where a and b are both known.
+    """Columns ``<a>|<b>``: rank of a among the rows where a and b are both known; column ``<a>``
+    is known where a is.
 
-    One scan of each column's values carries a running count per partner, so the
-    work grows with the number of columns and not with the number of pairs.  The
-    ranks of a column with few distinct values are broadcast.
+    The columns stand below one another, so that one scan ranks all of them: it carries a
+    running count per partner.  Ranks go back to the rows in one join and one grouping by row,
+    so the number of exchanges does not depend on the number of columns.
     """
-    rows, distinct = df, distinct_counts(df, cols)
-    for c in cols:
-        partners = [p for p in cols if p != c]
-        names = {p: f"_with_{i}" for i, p in enumerate(partners)}
-        weights = {COUNT: F.count(F.lit(1))}
-        weights.update({names[p]: F.count(p) for p in partners})
-        scan = running_totals(value_counts(df, [], c, weights), [], list(weights))
-        ranks = scan.select(
-            F.col(VALUE).alias("_at"),
-            *[
-                average_rank(F.col(f"{names[p]}_below"), F.col(names[p])).alias(f"{c}|{p}")
-                for p in partners
-            ],
+    cells = F.array(
+        *[F.struct(F.lit(i).alias("_of"), (F.col(c) + 0.0).alias(VALUE)) for i, c in enumerate(cols)]
+    )
+    long = (
+        # Numbered before the cells are dealt out, which all carry their row's number.
+        df.withColumn("_row", F.monotonically_increasing_id())
+        .select(
+            "_row",
+            F.array(*[F.col(c).isNotNull() for c in cols]).alias("_known"),
+            F.explode(cells).alias("_cell"),
         )
-        if distinct[c] <= BROADCAST_ROWS:
-            ranks = F.broadcast(ranks)
-        rows = rows.withColumn("_at", F.col(c) + F.lit(0.0)).join(ranks, "_at", "left")
-        rows = rows.drop("_at")
-    return rows
+        .select("_row", "_known", "_cell.*")
+        .where(F.col(VALUE).isNotNull())
+    )
+    names = [f"_with_{i}" for i in range(len(cols))]
+    counts = long.groupBy("_of", VALUE).agg(
+        *[F.count_if(F.col("_known")[i]).alias(n) for i, n in enumerate(names)]
+    )
+    ranks = running_totals(counts, ["_of"], names).select(
+        "_of", VALUE, F.array(*[average_rank(F.col(f"{n}_below"), F.col(n)) for n in names]).alias("_ranks")
+    )
+    rows = (
+        long.select("_row", "_of", VALUE)
+        .join(ranks, ["_of", VALUE])
+        .groupBy("_row")
+        .agg(F.map_from_entries(F.collect_list(F.struct("_of", "_ranks"))).alias("_ranks"))
+    )
+    known = {c: F.element_at("_ranks", F.lit(i)) for i, c in enumerate(cols)}
+    return rows.select(
+        *[known[c].alias(c) for c in cols],
+        *[known[a][j].alias(f"{a}|{b}") for a in cols for j, b in enumerate(cols) if a != b],
+    )
 
 
 def _pair_cells(cols: Sequence[str], method: str) -> tuple[list[Column], list[tuple[str, str]]]:
