@@ -107,13 +107,15 @@ def duplicate_sample(df: DataFrame, key: Sequence[str], n: int = 5) -> DataFrame
     return duplicate_keys(df, key).orderBy(*key).limit(n)
 
 
+class DuplicateKeys(ValueError):
+    """A table holds a key more than once: its data are wrong, not its shape."""
+
+
 def require_unique(df: DataFrame, key: Sequence[str], name: str) -> None:
     """Raise with up to five sample keys unless ``key`` is unique."""
     sample = [row.asDict() for row in duplicate_sample(df, key).select(*key).collect()]
     if sample:
-        raise ValueError(
-            f"{name}: keys {list(key)} are not unique. Sample duplicate keys: {sample}"
-        )
+        raise DuplicateKeys(f"{name}: {list(key)} is not unique, for instance at {sample}")
 
 
 def contract_report(

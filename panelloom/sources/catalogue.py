@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.operators.combine import pick_by_priority
+from panelloom.operators.quality import DuplicateKeys
 from panelloom.operators.reshape import (
     average_subperiods,
     select_dimension_profile,
@@ -59,9 +60,11 @@ def load_measure(
 def reason(error: AnalysisException | ValueError, source: SourceSpec) -> str:
     """Why a variant is passed over, also logged: its table is absent or has another shape.
 
-    Any other failure, such as one of a job, is raised: another source must not stand in
-    for one that was there.
+    Any other failure, such as one of a job or a key that occurs twice, is raised: another
+    source must not stand in for one that was there.
     """
+    if isinstance(error, DuplicateKeys):
+        raise error
     if isinstance(error, AnalysisException) and error.getCondition() not in ABSENT:
         raise error
     text = f"{source.table}: {error}"

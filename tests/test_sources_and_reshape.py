@@ -110,6 +110,18 @@ def test_failing_jobs_are_not_passed_over(spark):
         load_with_fallback(tables.__getitem__, variants, SPEC, "origin")
 
 
+def test_duplicate_keys_are_raised_and_not_passed_over(spark):
+    tables = {
+        "first": spark.createDataFrame([("PL", 1.0), ("PL", 2.0), ("BB", 3.0)], [GEO, "2024"]),
+        "second": spark.createDataFrame([("PL", 5.0)], [GEO, "2024"]),
+    }
+    variants = [SourceSpec("first", "value"), SourceSpec("second", "value")]
+    with pytest.raises(ValueError, match="not unique.*PL"):
+        first_working(tables.__getitem__, variants, SPEC)
+    with pytest.raises(ValueError, match="not unique.*PL"):
+        load_with_fallback(tables.__getitem__, variants, SPEC, "origin")
+
+
 def test_absent_tables_are_passed_over(spark, tmp_path, caplog):
     raw = spark.createDataFrame([("PL", 1.0)], [GEO, "2024"])
     raw.write.parquet(str(tmp_path / "second"))
