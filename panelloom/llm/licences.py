@@ -16,6 +16,23 @@ MARKS = ["licen", "copyright", "permission", "warrant", "redistribut", "public d
 # Identifier of a known sentence, and its pattern over the normalised
 # sentence.  The first that matches counts.
 SENTENCES: list[tuple[str, str]] = [
+    ("spdx_mit", r"\bspdx license identifier mit$"),
+    ("spdx_isc", r"\bspdx license identifier isc$"),
+    ("spdx_bsd3", r"\bspdx license identifier bsd 3 clause$"),
+    ("spdx_bsd2", r"\bspdx license identifier bsd 2 clause$"),
+    ("spdx_apache2", r"\bspdx license identifier apache 2.0$"),
+    ("spdx_agpl3_later", r"\bspdx license identifier agpl 3.0 or later$"),
+    ("spdx_agpl3", r"\bspdx license identifier agpl 3.0( only)?$"),
+    ("spdx_lgpl3_later", r"\bspdx license identifier lgpl 3.0 or later$"),
+    ("spdx_lgpl3", r"\bspdx license identifier lgpl 3.0( only)?$"),
+    ("spdx_lgpl2_later", r"\bspdx license identifier lgpl 2.1 or later$"),
+    ("spdx_lgpl2", r"\bspdx license identifier lgpl 2.1( only)?$"),
+    ("spdx_gpl3_later", r"\bspdx license identifier gpl 3.0 or later$"),
+    ("spdx_gpl3", r"\bspdx license identifier gpl 3.0( only)?$"),
+    ("spdx_gpl2_later", r"\bspdx license identifier gpl 2.0 or later$"),
+    ("spdx_gpl2", r"\bspdx license identifier gpl 2.0( only)?$"),
+    ("spdx_mpl2", r"\bspdx license identifier mpl 2.0$"),
+    ("spdx_cc0", r"\bspdx license identifier cc0 1.0$"),
     ("spdx", r"\bspdx license identifier \S"),
     ("mit_grant", r"\bpermission is hereby granted free of charge to any person obtaining a copy\b"),
     ("mit_notice", r"\babove copyright notice and this permission notice shall be included\b"),
@@ -26,9 +43,27 @@ SENTENCES: list[tuple[str, str]] = [
     ("bsd_source", r"\bredistributions of source code must retain\b"),
     ("bsd_binary", r"\bredistributions in binary form must reproduce\b"),
     ("bsd_endorse", r"\bneither the name of\b.*\bendorse or promote\b"),
+    ("agpl_free3_later", r"\bis free software\b.*\baffero general public license\b.*\bversion 3\b.*\blater version\b"),
+    ("agpl_free3", r"\bis free software\b.*\baffero general public license\b.*\bversion 3\b"),
+    ("agpl_free", r"\bis free software\b.*\baffero general public license\b"),
+    ("lgpl_free3_later", r"\bis free software\b.*\blesser general public license\b.*\bversion 3\b.*\blater version\b"),
+    ("lgpl_free3", r"\bis free software\b.*\blesser general public license\b.*\bversion 3\b"),
+    ("lgpl_free21_later", r"\bis free software\b.*\blesser general public license\b.*\bversion 2.1\b.*\blater version\b"),
+    ("lgpl_free21", r"\bis free software\b.*\blesser general public license\b.*\bversion 2.1\b"),
+    ("lgpl_free2_later", r"\bis free software\b.*\blibrary general public license\b.*\bversion 2\b.*\blater version\b"),
+    ("lgpl_free", r"\bis free software\b.*\b(lesser|library) general public license\b"),
+    ("gpl_free3_later", r"\bis free software\b.*\bgeneral public license\b.*\bversion 3\b.*\blater version\b"),
+    ("gpl_free3", r"\bis free software\b.*\bgeneral public license\b.*\bversion 3\b"),
+    ("gpl_free2_later", r"\bis free software\b.*\bgeneral public license\b.*\bversion 2\b.*\blater version\b"),
+    ("gpl_free2", r"\bis free software\b.*\bgeneral public license\b.*\bversion 2\b"),
     ("gpl_free", r"\bis free software\b.*\bgeneral public license\b"),
     ("gpl_warranty", r"\bwithout any warranty\b.*\bmerchantability\b"),
     ("gpl_copy", r"\bshould have received a copy of the gnu\b"),
+    ("agpl3_title", r"\bgnu affero general public license version 3 19 november 2007\b"),
+    ("lgpl3_title", r"\bgnu lesser general public license version 3 29 june 2007\b"),
+    ("lgpl2_title", r"\bgnu lesser general public license version 2.1 february 1999\b"),
+    ("gpl3_title", r"\bgnu general public license version 3 29 june 2007\b"),
+    ("gpl2_title", r"\bgnu general public license version 2 june 1991\b"),
     ("agpl3", r"\blicensed under the gnu affero general public license\b.*\b3\b"),
     ("lgpl3", r"\blicensed under the gnu lesser general public license\b.*\b3\b"),
     ("lgpl2", r"\blicensed under the gnu lesser general public license\b.*\b2\b"),
@@ -37,6 +72,7 @@ SENTENCES: list[tuple[str, str]] = [
     ("gpl2", r"\blicensed under the gnu general public license\b.*\b2\b"),
     ("gpl_any", r"\blicensed under the gnu general public license\b"),
     ("apache2", r"\blicensed under the apache license version 2"),
+    ("apache2_title", r"\bapache license version 2.0 january 2004\b"),
     ("apache_copy", r"\bobtain a copy of the license at\b"),
     ("mpl2", r"\bmozilla public license\b.*\b2"),
     ("mit", r"\b(released|licensed|distributed|available) under the( terms of the)? mit license\b"),
@@ -70,9 +106,6 @@ RULES: list[tuple[str, list[str]]] = [
     ("GPL-3.0-or-later", ["gpl3_or_later"]),
     ("GPL-3.0", ["gpl3"]),
     ("GPL-2.0", ["gpl2"]),
-    ("GPL", ["gpl_free", "gpl_warranty", "gpl_copy"]),
-    ("GPL", ["gpl_free", "gpl_warranty"]),
-    ("GPL", ["gpl_free"]),
     ("GPL", ["gpl_any"]),
     ("MPL-2.0", ["mpl2"]),
     ("MIT", ["mit"]),
@@ -88,6 +121,56 @@ RULES: list[tuple[str, list[str]]] = [
     ("Declared-SPDX", ["spdx"]),
     ("Proprietary", ["all_rights"]),
 ]
+# Licences told by one sentence of their own: titles of whole texts and declared
+# identifiers.  An expression of several is ``Declared-SPDX``; column ``declared`` has its words.
+RULES += [
+    ("Apache-2.0", ["apache2_title"]),
+    ("AGPL-3.0", ["agpl3_title"]),
+    ("LGPL-3.0", ["lgpl3_title"]),
+    ("LGPL-2.1", ["lgpl2_title"]),
+    ("GPL-3.0", ["gpl3_title"]),
+    ("GPL-2.0", ["gpl2_title"]),
+    ("MIT", ["spdx_mit"]),
+    ("ISC", ["spdx_isc"]),
+    ("BSD-3-Clause", ["spdx_bsd3"]),
+    ("BSD-2-Clause", ["spdx_bsd2"]),
+    ("Apache-2.0", ["spdx_apache2"]),
+    ("AGPL-3.0-or-later", ["spdx_agpl3_later"]),
+    ("AGPL-3.0", ["spdx_agpl3"]),
+    ("LGPL-3.0-or-later", ["spdx_lgpl3_later"]),
+    ("LGPL-3.0", ["spdx_lgpl3"]),
+    ("LGPL-2.1-or-later", ["spdx_lgpl2_later"]),
+    ("LGPL-2.1", ["spdx_lgpl2"]),
+    ("GPL-3.0-or-later", ["spdx_gpl3_later"]),
+    ("GPL-3.0", ["spdx_gpl3"]),
+    ("GPL-2.0-or-later", ["spdx_gpl2_later"]),
+    ("GPL-2.0", ["spdx_gpl2"]),
+    ("MPL-2.0", ["spdx_mpl2"]),
+    ("CC0", ["spdx_cc0"]),
+]
+# The first sentence of a GNU header, and its licence.
+GNU = [
+    ("AGPL-3.0-or-later", "agpl_free3_later"),
+    ("AGPL-3.0", "agpl_free3"),
+    ("AGPL", "agpl_free"),
+    ("LGPL-3.0-or-later", "lgpl_free3_later"),
+    ("LGPL-3.0", "lgpl_free3"),
+    ("LGPL-2.1-or-later", "lgpl_free21_later"),
+    ("LGPL-2.1", "lgpl_free21"),
+    ("LGPL-2.0-or-later", "lgpl_free2_later"),
+    ("LGPL", "lgpl_free"),
+    ("GPL-3.0-or-later", "gpl_free3_later"),
+    ("GPL-3.0", "gpl_free3"),
+    ("GPL-2.0-or-later", "gpl_free2_later"),
+    ("GPL-2.0", "gpl_free2"),
+    ("GPL", "gpl_free"),
+]
+# The whole header first, so that it uses up the two sentences all GNU headers share.
+RULES = [
+    (name, [first, *rest])
+    for rest in (["gpl_warranty", "gpl_copy"], ["gpl_warranty"], [])
+    for name, first in GNU
+] + RULES
 # Single words of which every known sentence and every mark has one.  White space and signs
 # between words do not matter to them, so they can be looked for in raw text.
 KEYS = [
@@ -108,9 +191,12 @@ JOINED = (
 )
 # Abbreviations of "version" end no sentence.
 ENDS = r"(?<!\b[Vv])(?<!\b[Vv]er)(?<!\b[Vv]ers)[.!?]+[ \t]+|[.!?:;]*\r?\n"
-# The SQL's own cut: lines joined before lower case only, sentences cut at ';' and ':' too.
-WRAPPED = r"([^.!?:;\n])\r?\n[ \t]*[#/*;%-]*[ \t]*([a-z0-9])"
-SENTENCE_END = r"[.!?:;]+[ \t]+|[.!?:;]*\r?\n"
+# A line that declares an expression ends a sentence, and the expression as written.
+DECLARING = r"(SPDX-License-Identifier:[^\r\n]*)"
+DECLARED = (
+    r"SPDX-License-Identifier:[ \t]*"
+    r"([A-Za-z0-9.+()-]+(?:[ \t]+(?:OR|AND|WITH|or|and|with)[ \t]+[A-Za-z0-9.+()-]+)*)"
+)
 UNKNOWN = "unknown"
 
 
@@ -150,7 +236,11 @@ def identifier(sentence: Column) -> Column:
 
 
 def matched_rules(sequence: Column) -> Column:
-    """Licences, in rule order, whose rules match the identifiers ``sequence`` (array)."""
+    """Licences, in rule order, whose rules match the identifiers ``sequence`` (array).
+
+    Unknown sentences between known ones do not keep a rule from matching.
+    """
+    sequence = F.filter(sequence, lambda i: i != UNKNOWN)
     rules = F.array(
         *[
             F.struct(F.lit(name).alias("name"), F.lit("".join(f"<{i}>" for i in ids)).alias("ids"))
@@ -181,7 +271,7 @@ def matched_rules(sequence: Column) -> Column:
 def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, sentences (array of identifiers in text order, known
     sentences and ``unknown`` ones that carry a mark), licences (array, rule order),
-    n_known, n_unknown.
+    declared (array of declared SPDX expressions as written), n_known, n_unknown.
 
     Null and empty texts have empty arrays.  Rows are judged each for itself, so repeated
     rows give repeated results; null ids stay null; other columns are not read.
@@ -189,7 +279,8 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     # Texts without a key, and sentences without one, cannot hold what is looked for.
-    cut = F.split(F.regexp_replace("text", JOINED, " "), ENDS)
+    lines = F.regexp_replace("text", DECLARING, "$1.")
+    cut = F.split(F.regexp_replace(lines, JOINED, " "), ENDS)
     parts = F.filter(F.transform(cut, normalised), has_key)
     told = F.transform(
         parts,
@@ -202,6 +293,7 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.when(has_key(F.lower("text")), F.transform(kept, lambda t: t["id"]))
         .otherwise(none)
         .alias("sentences"),
+        F.regexp_extract_all("text", F.lit(DECLARED), 1).alias("declared"),
     )
     known = F.size(F.filter("sentences", lambda i: i != UNKNOWN))
     return found.select(
@@ -210,30 +302,45 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.when(F.size("sentences") > 0, matched_rules(F.col("sentences")))
         .otherwise(none)
         .alias("licences"),
+        "declared",
         known.cast("long").alias("n_known"),
         (F.size("sentences") - known).cast("long").alias("n_unknown"),
     )
 
 
 def licence_sql(table: str = "documents") -> str:
-    """The scan in DuckDB SQL, arrays joined by blanks; its cut into sentences (WRAPPED,
-    SENTENCE_END) and its marks lose wrapped and joined notices that the scan finds."""
+    """The scan in DuckDB SQL, arrays joined by blanks (``declared`` by ', ').
+
+    Its patterns cannot look behind, so lines are split first and each is joined to the line
+    before or not; the sign after an abbreviation of "version" is removed before sentences are
+    cut.
+    """
 
     def quoted(text: str) -> str:
         return "'" + text.replace("'", "''") + "'"
 
-    def marked(x: str) -> str:
-        marks = [*MARKS, "creative commons", "cc by", "rights reserved"]
-        return "(" + " OR ".join(f"contains({x}, {quoted(m)})" for m in marks) + ")"
+    def holds(x: str, words: list[str]) -> str:
+        return "(" + " OR ".join(f"contains({x}, {quoted(w)})" for w in words) + ")"
+
+    def like(x: str, pattern: str) -> str:
+        return f"regexp_matches({x}, {quoted(pattern)})"
 
+    marks = [*MARKS, "creative commons", "cc by", "rights reserved"]
+    before, start = "lines[i - 1]", r"^[ \t]*[#/*;%-]*[ \t]*"
+    ends_open = r"[^.!?:; \t\n\x0B\f\r][ \t]*$"
+    ends_version = r"\b[Vv](ers?)?\.[ \t]*$"
+    word = r"""["'(<]*[\p{L}\p{N}]"""
+    goes_on = (
+        f"({like(before, ends_open)} OR {like(before, ends_version)}"
+        f" OR ({like(before, '[:;][ \t]*$')} AND {like('l', '^[ \t#/*;%-]*[a-z]')}))"
+        f" AND {like('l', start + word)} AND NOT {like('l', start + '(' + BEGINS + ')')}"
+    )
     norm = (
         "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace("
         "lower(s), '[^a-z0-9.]+', ' ', 'g'), '\\.( |$)', ' ', 'g'), 'licence', 'license', 'g'),"
         " ' +', ' ', 'g'))"
     )
-    cases = " ".join(
-        f"WHEN regexp_matches(s, {quoted(p)}) THEN {quoted(n)}" for n, p in SENTENCES
-    )
+    cases = " ".join(f"WHEN {like('s', p)} THEN {quoted(n)}" for n, p in SENTENCES)
     steps, prev = [], "seqs"
     for k, (name, ids) in enumerate(RULES):
         mark = quoted("".join(f"<{i}>" for i in ids))
@@ -244,23 +351,34 @@ def licence_sql(table: str = "documents") -> str:
         )
         prev = f"r{k}"
     return f"""WITH slim AS (SELECT doc_id, coalesce(text, '') AS text FROM {table}),
+lined AS (
+  SELECT doc_id, text, CASE WHEN {holds('lower(text)', KEYS)} THEN
+    string_split(replace(regexp_replace(text, {quoted(DECLARING)}, '\\1.', 'g'), chr(13) || chr(10), chr(10)), chr(10)) ELSE [] END AS lines FROM slim
+),
+joined AS (
+  SELECT doc_id, text, coalesce(array_to_string(list_transform(lines, lambda l, i: CASE WHEN i = 1 THEN l
+    WHEN {goes_on} THEN ' ' || l ELSE chr(10) || l END), ''), '') AS whole FROM lined
+),
 cut AS (
-  SELECT doc_id, CASE WHEN {marked('lower(text)')} THEN
-    list_filter(list_transform(string_split_regex(
-      regexp_replace(text, {quoted(WRAPPED)}, '\\1 \\2', 'g'), {quoted(SENTENCE_END)}),
-      lambda s: {norm}), lambda s: {marked('s')}) ELSE [] END AS parts
-  FROM slim
+  SELECT doc_id, text, list_filter(list_transform(string_split_regex(
+      regexp_replace(whole, '\\b([Vv](ers?)?)[.!?]([ \\t])', '\\1\\3', 'g'), '[.!?]+[ \\t]+|[.!?:;]*\\n'),
+      lambda s: {norm}), lambda s: {holds('s', KEYS)}) AS parts
+  FROM joined
 ),
-ids AS (
-  SELECT doc_id, list_transform(parts, lambda s: CASE {cases} ELSE '{UNKNOWN}' END) AS ids FROM cut
+told AS (
+  SELECT doc_id, text, list_transform(parts, lambda s: CASE {cases}
+    WHEN {holds('s', marks)} THEN '{UNKNOWN}' ELSE '' END) AS ids FROM cut
 ),
+ids AS (SELECT doc_id, text, list_filter(ids, lambda i: i <> '') AS ids FROM told),
 seqs AS (
-  SELECT doc_id, ids, coalesce(array_to_string(list_transform(ids, lambda i: '<' || i || '>'), ''), '')
-    AS rest, CAST([] AS VARCHAR[]) AS found FROM ids
+  SELECT doc_id, text, ids, coalesce(array_to_string(list_transform(list_filter(ids,
+    lambda i: i <> '{UNKNOWN}'), lambda i: '<' || i || '>'), ''), '') AS rest,
+    CAST([] AS VARCHAR[]) AS found FROM ids
 ),
 {", ".join(steps)}
 SELECT doc_id, coalesce(array_to_string(ids, ' '), '') AS sentences,
        coalesce(array_to_string(found, ' '), '') AS licences,
+       coalesce(array_to_string(regexp_extract_all(text, {quoted(DECLARED)}, 1), ', '), '') AS declared,
        CAST(len(list_filter(ids, lambda i: i <> '{UNKNOWN}')) AS BIGINT) AS n_known,
        CAST(len(list_filter(ids, lambda i: i = '{UNKNOWN}')) AS BIGINT) AS n_unknown
 FROM {prev}"""
