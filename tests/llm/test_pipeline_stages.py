@@ -9,14 +9,12 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
-import pytest
 from llm_fixtures import words
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from test_texts import WORD, classes_by_hand, encoded, targets_by_hand
 
 
-
 BIG = 2**53
 COLUMNS = [
     ("doc_id", T.LongType()),
@@ -181,17 +179,15 @@ def test_every_stage_over_planted_rows(spark, tmp_path, word_vocabulary):
     )
 
 
-@pytest.mark.parametrize("keep", ["null", "blank"])
-def test_stages_over_rows_without_words(spark, tmp_path, keep):
-    text = None if keep == "null" else " \n"
-    full = [(i, text, None, None, None, *["clash"] * 6) for i in (1, 1, None)]
+def test_stages_over_rows_without_words(spark, tmp_path):
+    rows = [(1, None), (1, None), (None, None), (2, " \n")]
+    full = [(i, t, None, None, None, *["clash"] * 6) for i, t in rows]
     spark.createDataFrame(full, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], LABELS).write.parquet(str(tmp_path / "labels.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     counts = []
-    for _, stage in corpus_pipeline.STAGES[:3]:
+    for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, str(tmp_path))
         counts.append(docs.count())
     # Of repeated rows one stays; the mix takes no words and so no rows.
-    assert counts == [3, 2, 2]
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    assert counts == [4, 3, 3, 0, 0]
