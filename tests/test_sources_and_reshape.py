@@ -255,6 +255,42 @@ def test_cache_builds_once_and_rejects_empty(spark, tmp_path):
     assert cached_table(spark, path, build).count() == 3 and len(calls) == 1
     with pytest.raises(ValueError, match="empty"):
         cached_table(spark, str(tmp_path / "none"), lambda: spark.range(0))
+    assert cached_table(spark, str(tmp_path / "none"), lambda: spark.range(2)).count() == 2
+
+
+NAN, INF = float("nan"), float("inf")
+STORED = [(1, 5.0, 1.0), (2, NAN, 2.0), (3, None, 3.0), (4, INF, NAN), (5, -1.0, None), (6, 7.0, 6.0)]
+
+
+@pytest.mark.parametrize(
+    ("conditions", "ids"),
+    [
+        ([("x", ">", 4.0)], [1, 4, 6]),
+        ([("x", ">=", -INF)], [1, 4, 5, 6]),
+        ([("x", "<", 6.0)], [1, 5]),
+        ([("x", "=", NAN)], []),
+        ([("x", "in", [7.0, NAN, 5.0])], [1, 6]),
+        ([("x", ">", 0.0), ("y", ">", 0.0)], [1, 6]),
+        ([("x", "=", None)], []),
+        ([], [1, 2, 3, 4, 5, 6]),
+    ],
+)
+def test_conditions_see_cleaned_values(spark, tmp_path, conditions, ids):
+    path = str(tmp_path / "stored")
+    spark.createDataFrame(STORED, "id int, x double, y double").write.parquet(path)
+    got = read_parquet(spark, path, conditions)
+    assert sorted(r.id for r in got.collect()) == ids
+    assert got.where("isnan(x) OR isnan(y)").count() == 0
+
+
+def test_conditions_on_doubles_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "stored")
+    spark.createDataFrame(STORED, "id int, x double, y double").write.parquet(path)
+    got = read_parquet(spark, path, [("x", ">", 4.0), ("y", "<=", 6.0)])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(x,4.0)" in plan and "LessThanOrEqual(y,6.0)" in plan
+    with pytest.raises(ValueError, match="unknown comparison"):
+        read_parquet(spark, path, [("x", "~", 4.0)])
 
 
 def test_report_is_globally_ordered(spark, tmp_path):

@@ -33,6 +33,25 @@ def parquet_scan(t):
     return t.read("orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
 
 
+@query(
+    "s1_filtered_scan",
+    """SELECT l_returnflag, count(*) AS n_rows, min(l_extendedprice) AS least,
+       max(l_discount) AS most FROM lineitem
+WHERE l_extendedprice > 30000 AND l_discount <= 0.05 AND l_quantity IN (10, 20, 30)
+GROUP BY l_returnflag""",
+    "least most",
+)
+def filtered_scan(t):
+    conditions = [
+        ("l_extendedprice", ">", 30000.0), ("l_discount", "<=", 0.05), ("l_quantity", "in", [10, 20, 30]),
+    ]
+    return t.read("lineitem", conditions).groupBy("l_returnflag").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.min("l_extendedprice").alias("least"),
+        F.max("l_discount").alias("most"),
+    )
+
+
 PART_COLUMNS = ["p_partkey", "p_brand", "p_type", "p_size"]
 
 

@@ -6,6 +6,7 @@ get bit-identical inputs whatever the order of summation.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,7 @@ from panelloom.operators.gaps import exclude_incomplete, fill_gaps
 from panelloom.operators.growth import add_chained_index, add_gap, add_growth
 from panelloom.sources.shared import shared_folder
 from panelloom.sources.sinks import write_view
-from panelloom.sources.tables import read_parquet
+from panelloom.sources.tables import Condition, read_parquet
 
 # Nation-year panel: the declared range keeps one entity below one window segment.
 NATION = PanelSpec(
@@ -41,8 +42,8 @@ class Tables:
         self.spark = spark
         self.sf_dir = sf_dir
 
-    def read(self, name: str) -> DataFrame:
-        return read_parquet(self.spark, f"{self.sf_dir}/{name}.parquet")
+    def read(self, name: str, conditions: Sequence[Condition] = ()) -> DataFrame:
+        return read_parquet(self.spark, f"{self.sf_dir}/{name}.parquet", conditions)
 
     def scratch(self) -> str:
         return shared_folder(self.spark)
