@@ -8,9 +8,16 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelloom.functions.cells import finite
+from panelloom.functions.cells import finite, is_finite
 from panelloom.functions.tails import correlation_p_value
-from panelloom.plans.order_stats import VALUE, average_rank, running_totals
+from panelloom.plans.order_stats import (
+    COUNT,
+    VALUE,
+    average_rank,
+    running_maximum,
+    running_totals,
+    value_counts,
+)
 
 
 def _finite_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -151,13 +158,36 @@ def sample_sizes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def holm(df: DataFrame, p_value: str, name: str = "p_adj") -> DataFrame:
-    """Holm step-down adjustment over all rows (a small table of tests)."""
+    """Holm step-down adjustment over all rows with a finite p-value; the others go.
+
+    Of equal p-values the first step has the largest product, so that one product per distinct
+    value is enough.  Counts of smaller values and the running maximum come from scans of the
+    distinct values in bounded windows; no task sees all tests.
+    """
+    counts = value_counts(df, [], p_value)
+    below, tests = F.col(f"{COUNT}_below"), F.col(f"{COUNT}_total")
+    scaled = running_totals(counts, []).select(
+        VALUE, ((tests - below) * F.col(VALUE)).alias("_scaled")
+    )
+    adjusted = running_maximum(scaled, [], "_scaled", "_adjusted").select(
+        VALUE, F.least(F.lit(1.0), F.col("_adjusted")).alias(name)
+    )
+    known = df.where(is_finite(F.col(p_value))).withColumn(
+        VALUE, F.col(p_value).cast("double") + F.lit(0.0)
+    )
+    return known.join(adjusted, VALUE).drop(VALUE)
+
+
+def holm_of_few(df: DataFrame, p_value: str, name: str = "p_adj") -> DataFrame:
+    """:func:`holm` in one window, for the pairs of some columns or groups.
+
+    Those are few whatever the number of rows, and the scans of :func:`holm` would work out the
+    tests themselves again for every branch.
+    """
     whole = Window.partitionBy(F.lit(0))
     ordered = whole.orderBy(p_value)
-    tests = F.count(p_value).over(whole)
-    step = F.row_number().over(ordered)
-    scaled = F.when(F.col(p_value).isNotNull(), (tests - step + 1) * F.col(p_value))
-    known = df.where(F.col(p_value).isNotNull()).withColumn("_scaled", scaled)
+    left = F.count(p_value).over(whole) - F.row_number().over(ordered) + 1
+    known = df.where(is_finite(F.col(p_value))).withColumn("_scaled", left * F.col(p_value))
     running = F.max("_scaled").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
     return known.withColumn(name, F.least(F.lit(1.0), running)).drop("_scaled")
 
@@ -166,7 +196,7 @@ def tested_pairs(df: DataFrame, cols: Sequence[str], method: str = "pearson") ->
     """Pairs with at least four complete rows, with raw and Holm-adjusted p."""
     pairs = correlation_pairs(df, cols, method).where((F.col("n") >= 4) & F.col("r").isNotNull())
     tested = pairs.withColumn("p_value", correlation_p_value("r", "n"))
-    return holm(tested, "p_value")
+    return holm_of_few(tested, "p_value")
 
 
 def significance_list(df: DataFrame, cols: Sequence[str], method: str = "pearson") -> DataFrame:

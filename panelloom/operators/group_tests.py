@@ -25,15 +25,15 @@ from panelloom.functions.tails import (
     studentised_range_p_value,
     studentised_range_quantile,
 )
-from panelloom.operators.correlation import holm
+from panelloom.operators.correlation import holm_of_few
 from panelloom.operators.describe import group_means, group_medians
-from panelloom.plans.broadcasting import if_small
 from panelloom.plans.order_stats import (
     COUNT,
     VALUE,
     as_scalar,
     average_rank,
     quantiles,
+    quantiles_of_counts,
     running_totals,
     value_counts,
 )
@@ -95,15 +95,25 @@ def with_f_p_value(row: DataFrame) -> DataFrame:
 
 
 def brown_forsythe(df: DataFrame, metric: str, group: str, min_n: int = 2) -> DataFrame:
-    """Levene statistic around the group medians (one row: k, n, statistic)."""
-    medians = quantiles(df, [group], metric, {"_median": 0.5}).where(F.col("n") >= min_n)
-    medians = if_small(medians.drop("n"), sized_by=df.select(group).distinct())
-    rows = df.where(is_finite(F.col(metric))).select(group, finite(F.col(metric)).alias(metric))
-    spread = rows.join(medians, group).select(
-        group, F.abs(F.col(metric) - F.col("_median")).alias("_spread")
+    """Levene statistic around the group medians (one row: k, n, statistic).
+
+    Medians, means and squares come from the same counts of distinct values, so the rows are
+    read once and no group is gathered.
+    """
+    counts = value_counts(df, [group], metric)
+    medians = quantiles_of_counts(counts, [group], {"_median": 0.5}).where(F.col("n") >= min_n)
+    spread = F.abs(F.col(VALUE) - F.col("_median"))
+    centres = (
+        counts.join(medians.drop("n"), group)
+        .groupBy(group, "_median")
+        .agg(F.sum(COUNT).alias("n"), (F.sum(spread * F.col(COUNT)) / F.sum(COUNT)).alias("mean"))
+    )
+    moments = (
+        counts.join(centres, group)
+        .groupBy(group, "n", "mean")
+        .agg(F.sum(F.pow(spread - F.col("mean"), 2) * F.col(COUNT)).alias("ss"))
     )
-    row = _one_way(group_moments(spread, "_spread", group, min_n))
-    return row.select("k", "n", "statistic")
+    return _one_way(moments).select("k", "n", "statistic")
 
 
 def kruskal_wallis(df: DataFrame, metric: str, group: str, min_n: int = 2) -> DataFrame:
@@ -114,7 +124,7 @@ def kruskal_wallis(df: DataFrame, metric: str, group: str, min_n: int = 2) -> Da
     """
     counts = value_counts(df, [group], metric)
     sizes = counts.groupBy(group).agg(F.sum(COUNT).alias("size")).where(F.col("size") >= min_n)
-    counts = counts.join(if_small(sizes, sized_by=df.select(group).distinct()), group)
+    counts = counts.join(sizes, group)
     pooled = counts.groupBy(VALUE).agg(F.sum(COUNT).alias(COUNT))
     ranks = running_totals(pooled, []).select(
         VALUE,
@@ -416,7 +426,7 @@ def mann_whitney_pairs(
     """Two-sided Mann-Whitney test of every pair of groups with three values or more."""
     rows = mann_whitney_statistics(df, metric, group, names)
     rows = rows.withColumn("p_value", mann_whitney_p_value("U", "n_A", "n_B", "ties"))
-    rows = holm(rows, "p_value")
+    rows = holm_of_few(rows, "p_value")
     return rows.withColumns(
         {
             "effect_size": delta_label(F.col("cliffs_delta")),

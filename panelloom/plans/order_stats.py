@@ -35,8 +35,10 @@ def value_counts(
     rows = df
     for key in keys:
         rows = rows.where(F.col(key).isNotNull())
+    # Not nullable, so that joins on the value push no null filter below the counts and all
+    # branches of a plan reuse one exchange.
     rows = rows.where(is_finite(F.col(value))).withColumn(
-        VALUE, F.col(value).cast("double") + F.lit(0.0)
+        VALUE, F.coalesce(F.col(value).cast("double"), F.lit(0.0)) + F.lit(0.0)
     )
     return rows.groupBy(*keys, VALUE).agg(*[w.alias(name) for name, w in weights.items()])
 
@@ -112,6 +114,34 @@ def running_totals(
     )
 
 
+def running_maximum(rows: DataFrame, keys: Sequence[str], weight: str, name: str) -> DataFrame:
+    """Add ``name``, the largest ``weight`` over values up to and with the row's own.
+
+    ``rows`` holds one row per (keys, VALUE).  The same three levels as in
+    :func:`running_totals` bound every window.
+    """
+    keys = list(keys)
+    rows = _with_digits(rows)
+    before = (Window.unboundedPreceding, -1)
+    at_coarse, at_fine = [*keys, _COARSE], [*keys, _COARSE, _FINE]
+
+    def preceding(scope: list[str], order: str) -> Column:
+        window = Window.partitionBy(*scope).orderBy(order).rowsBetween(*before)
+        return F.max("_most").over(window)
+
+    fine = rows.groupBy(*at_fine).agg(F.max(weight).alias("_most"))
+    coarse = fine.groupBy(*at_coarse).agg(F.max("_most").alias("_most"))
+    coarse_scan = coarse.select(*at_coarse, preceding(keys, _COARSE).alias("_most_coarse"))
+    fine_scan = fine.join(coarse_scan, at_coarse).select(
+        *at_fine, F.greatest("_most_coarse", preceding(at_coarse, _FINE)).alias("_most_before")
+    )
+    own = Window.partitionBy(*at_fine).orderBy(VALUE).rowsBetween(Window.unboundedPreceding, 0)
+    kept = [c for c in rows.columns if c not in (_COARSE, _FINE)]
+    return rows.join(fine_scan, at_fine).select(
+        *kept, F.greatest("_most_before", F.max(weight).over(own)).alias(name)
+    )
+
+
 def average_rank(below: Column, ties: Column) -> Column:
     """Mean 1-based rank of a run of equal values."""
     return below + (ties + F.lit(1)) / F.lit(2.0)

@@ -18,6 +18,7 @@ from panelloom.operators.correlation import (
     correlation_matrix,
     correlation_pairs,
     holm,
+    holm_of_few,
     pvalue_matrix,
     sample_sizes,
     significance_list,
@@ -25,6 +26,7 @@ from panelloom.operators.correlation import (
 from panelloom.operators.describe import histogram_bins, scale_range, trend_line
 from panelloom.operators.group_tests import (
     anova,
+    brown_forsythe,
     kruskal_wallis,
     mann_whitney_pairs,
     mann_whitney_statistics,
@@ -197,6 +199,46 @@ def test_holm_is_monotone_and_not_below_raw(spark):
     assert all(r["p_adj"] >= r["p_value"] for r in got)
 
 
+def test_holm_with_ties_equals_the_steps_one_by_one(spark):
+    rng = np.random.default_rng(5)
+    p = [*rng.uniform(0, 1, 150), *(rng.uniform(0, 1, 20) ** 9), *[0.0] * 5, *[1.0] * 4, *[0.25] * 30]
+    p += list(rng.choice(p, 60)) + [5e-324, 1e-300]
+    rows = [(i, float(v)) for i, v in enumerate(p)] + [(-1, None), (-2, float("nan"))]
+    df = spark.createDataFrame(rows, "id int, p double").repartition(5)
+    got = holm(df, "p", "adj")
+    assert got.columns == ["id", "p", "adj"]
+    found = {r.id: r.adj for r in got.collect()}
+    few = {r.id: r.adj for r in holm_of_few(df, "p", "adj").collect()}
+    assert found == pytest.approx(few)
+    want, high = {}, 0.0
+    for step, i in enumerate(sorted(range(len(p)), key=lambda i: p[i])):
+        high = max(high, (len(p) - step) * p[i])
+        want[i] = min(1.0, high)
+    assert found == pytest.approx(want)
+
+
+def test_rank_tests_read_their_rows_once(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(f"g{i % 4}", float(v)) for i, v in enumerate(rng.integers(0, 50, 400))]
+    rows += [("g0", None), (None, 1.0), ("alone", 3.0), ("g1", float("nan"))]
+    spark.createDataFrame(rows, "g string, x double").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    groups = [np.array([x for g, x in rows[:400] if g == f"g{k}"]) for k in range(4)]
+    spread = [np.abs(v - np.median(v)) for v in groups]
+    every = np.concatenate(spread)
+    between = sum(len(s) * (s.mean() - every.mean()) ** 2 for s in spread) / 3
+    within = sum(((s - s.mean()) ** 2).sum() for s in spread) / 396
+    row = brown_forsythe(df, "x", "g").first()
+    assert (row["k"], row["n"]) == (4, 400)
+    assert row["statistic"] == pytest.approx(between / within)
+    for test in (kruskal_wallis, brown_forsythe):
+        out = test(df, "x", "g")
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        final = plan.split("== Initial Plan ==")[0]
+        assert final.count("FileScan parquet") == 1, final
+
+
 # --- group tests --------------------------------------------------------------------
 
 
