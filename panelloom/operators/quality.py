@@ -111,6 +111,11 @@ class DuplicateKeys(ValueError):
     """A table holds a key more than once: its data are wrong, not its shape."""
 
 
+class OpenDimensions(ValueError):
+    """A table holds a key once for each value of dimensions that nothing selects from: it has
+    another shape than the one read."""
+
+
 def require_unique(df: DataFrame, key: Sequence[str], name: str) -> None:
     """Raise with up to five sample keys unless ``key`` is unique."""
     sample = [row.asDict() for row in duplicate_sample(df, key).select(*key).collect()]

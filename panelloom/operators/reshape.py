@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.functions.cells import as_number, mapped, period_of, quoted
-from panelloom.operators.quality import require_unique
+from panelloom.operators.quality import (
+    DuplicateKeys,
+    OpenDimensions,
+    duplicate_keys,
+    require_unique,
+)
 from panelloom.spec import PanelSpec
 
 # Period columns are years or half-years.
@@ -59,11 +64,33 @@ def wide_to_long(
 
 
 def wide_to_panel(
-    df: DataFrame, spec: PanelSpec, value: str, codes: Mapping[str, str] | None = None
+    df: DataFrame,
+    spec: PanelSpec,
+    value: str,
+    codes: Mapping[str, str] | None = None,
+    declared: Collection[str] = (),
 ) -> DataFrame:
-    """Long form whose (entity, period) key is checked to be unique."""
+    """Long form whose (entity, period) key is checked to be unique.
+
+    If dimensions other than the ``declared`` ones tell all rows of every key apart, the error
+    is :class:`OpenDimensions`; a key that occurs twice with equal dimensions is an error of the
+    data, :class:`DuplicateKeys`.
+    """
     long = wide_to_long(df, spec, value, codes)
-    require_unique(long, spec.key, value)
+    try:
+        require_unique(long, spec.key, value)
+    except DuplicateKeys as error:
+        known = {entity_column(df), *period_columns(df), *declared}
+        dimensions = [c for c in df.columns if c not in known]
+        if not dimensions:
+            raise
+        cells = F.array(*[quoted(c).cast("string") for c in dimensions])
+        told_apart = wide_to_long(
+            df.withColumn("_dimensions", cells), spec, value, codes, ids=["_dimensions"]
+        )
+        if not duplicate_keys(told_apart, [*spec.key, "_dimensions"]).isEmpty():
+            raise
+        raise OpenDimensions(f"{error}; open dimensions: {dimensions}") from error
     return long
 
 

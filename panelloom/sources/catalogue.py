@@ -54,14 +54,16 @@ def load_measure(
         return average_subperiods(
             wide_to_long(raw, spec, source.value, codes), spec, source.value
         )
-    return wide_to_panel(raw, spec, source.value, codes)
+    declared = set(source.dimensions).union(*source.profiles)
+    return wide_to_panel(raw, spec, source.value, codes, declared)
 
 
 def reason(error: AnalysisException | ValueError, source: SourceSpec) -> str:
     """Why a variant is passed over, also logged: its table is absent or has another shape.
 
-    Any other failure, such as one of a job or a key that occurs twice, is raised: another
-    source must not stand in for one that was there.
+    A table with dimensions that the variant does not select from is of another shape.  Any
+    other failure, such as one of a job or a key that occurs twice with the same dimensions, is
+    raised: another source must not stand in for one that was there.
     """
     if isinstance(error, DuplicateKeys):
         raise error

@@ -122,6 +122,53 @@ def test_duplicate_keys_are_raised_and_not_passed_over(spark):
         load_with_fallback(tables.__getitem__, variants, SPEC, "origin")
 
 
+def test_open_dimensions_are_passed_over_and_duplicates_within_them_are_not(spark, caplog):
+    rows = [("A", "PL", 1.0), ("B", "PL", 2.0), (None, "PL", 3.0)]
+    names = ["category", GEO, "2024"]
+    raw = spark.createDataFrame(rows, names)
+    variants = [
+        SourceSpec("t", "value"), SourceSpec("t", "value", profiles=({"category": {"B"}},)),
+    ]
+    got = first_working(lambda _: raw, variants, SPEC).collect()
+    assert [tuple(r) for r in got] == [("PL", 2024, 2.0)]
+    assert "open dimensions: ['category']" in caplog.text
+    got = load_with_fallback(lambda _: raw, variants, SPEC, "origin").collect()
+    assert [r["value"] for r in got] == [2.0]
+
+    # One row twice: wrong data, whatever its dimensions.
+    twice = spark.createDataFrame([*rows, ("A", "PL", 1.0)], names)
+    with pytest.raises(ValueError, match="not unique.*PL"):
+        first_working(lambda _: twice, variants, SPEC)
+    # A declared dimension with two values left is a fault of the variant's own selection.
+    both = [SourceSpec("t", "value", dimensions={"category": ["A", "B"]}), variants[1]]
+    with pytest.raises(ValueError, match="not unique.*PL"):
+        first_working(lambda _: raw, both, SPEC)
+
+
+def test_first_working_variant_query(spark, tmp_path):
+    """The variant without a selected segment is passed over, the next one is read."""
+    from workloads import QUERIES
+
+    tables = {
+        "region": spark.createDataFrame([(0, "R")], "r_regionkey int, r_name string"),
+        "nation": spark.createDataFrame(
+            [(1, "N1", 0)], "n_nationkey int, n_name string, n_regionkey int"
+        ),
+        "customer": spark.createDataFrame(
+            [(1, 1, 5.0, "BUILDING"), (2, 1, 7.0, "MACHINERY")],
+            "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string",
+        ),
+        "orders": spark.sql(
+            "SELECT * FROM VALUES (1L, 100D, DATE '1995-03-01'), (1L, 200D, DATE '1995-04-01'), "
+            "(2L, 900D, DATE '1995-05-01') AS t(o_custkey, o_totalprice, o_orderdate)"
+        ).selectExpr("*", "'1-URGENT' AS o_orderpriority", "'F' AS o_orderstatus"),
+    }
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = QUERIES["s8_first_working_variant"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [("N1", 1995, 150.0)]
+
+
 def test_absent_tables_are_passed_over(spark, tmp_path, caplog):
     raw = spark.createDataFrame([("PL", 1.0)], [GEO, "2024"])
     raw.write.parquet(str(tmp_path / "second"))
