@@ -22,19 +22,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelloom.functions.resampling import numbers, poisson_mean, poisson_weights, positions
+from panelloom.functions.resampling import Draws, poisson_mean, poisson_weights, positions
 from panelloom.plans.order_stats import COUNT, VALUE, running_totals, value_counts
 
 BLOCK = 4096
-# Weights in one array.
-_STEP = 1 << 16
+# Weights in one array, so few that the arithmetic stays in a core's cache.
+_STEP = 1 << 15
 # Draws in one batch.
 _BATCH = 1 << 18
 
 
-def _blocks(rows: DataFrame, min_n: int) -> DataFrame:
+def _blocks(counts: DataFrame, min_n: int) -> DataFrame:
     """Runs of equal values inside a block: g, g_no, n, block, x, start (in the group), size."""
-    scan = running_totals(value_counts(rows, ["g"], "x"), ["g"])
+    scan = running_totals(counts, ["g"])
     first, last = F.col("start"), F.col("start") + F.col(COUNT) - 1
     runs = scan.where(F.col(f"{COUNT}_total") >= min_n).select(
         "g",
@@ -72,16 +72,16 @@ def _weighted(n_boot: int, seed: int):
         g_no, n = int(runs["g_no"].iloc[0]), int(runs["n"].iloc[0])
         place = int(runs["start"].min()) + np.arange(len(x))
         mean = poisson_mean(n)
+        draws, ones = Draws(seed, g_no, place[None, :]), np.ones(len(x))
         w, wx = np.zeros(n_boot, np.int64), np.zeros(n_boot)
         step = max(1, _STEP // len(x))
         for begin in range(0, n_boot, step):
             r = np.arange(begin, min(begin + step, n_boot))
             some = slice(begin, begin + len(r))
             if mean > 0:
-                drawn = numbers(seed, g_no, r[:, None], place[None, :])
-                weights = poisson_weights(drawn, mean)
-                w[some] = weights.sum(axis=1, dtype=np.int64)
-                wx[some] = weights.astype(np.float64) @ x
+                weights = poisson_weights(draws.unreduced(r[:, None]), mean).astype(np.float64)
+                w[some] = weights @ ones
+                wx[some] = weights @ x
             if n == len(x):
                 missing = np.maximum(n - w[some], 0)
                 for i in range(0, len(r), max(1, _STEP // (int(missing.max()) + 1))):
@@ -99,7 +99,7 @@ def _weighted(n_boot: int, seed: int):
     return sums
 
 
-def _draws(seed: int):
+def _draws(seed: int, block: int):
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The missing draws of replicates (g, g_no, n, r, w, ..), one row for those of a block
         that are made together: g, block, rs and places."""
@@ -115,14 +115,14 @@ def _draws(seed: int):
                     held.setdefault((g_no, n), []).append((row, np.full(len(j), r), at))
                     size += len(j)
                     if size > _BATCH:
-                        yield from _by_block(names, held)
+                        yield from _by_block(names, held, block)
                         held, size = {}, 0
-            yield from _by_block(names, held)
+            yield from _by_block(names, held, block)
 
     return draw
 
 
-def _by_block(names: pa.Array, held: dict) -> Iterator[pa.RecordBatch]:
+def _by_block(names: pa.Array, held: dict, block: int) -> Iterator[pa.RecordBatch]:
     for parts in held.values():
         # Groups of one number and size are told apart by their first row's name.
         by_name: dict[object, list] = {}
@@ -131,17 +131,17 @@ def _by_block(names: pa.Array, held: dict) -> Iterator[pa.RecordBatch]:
         for some in by_name.values():
             r = np.concatenate([p[1] for p in some])
             at = np.concatenate([p[2] for p in some])
-            order = np.argsort(at // BLOCK, kind="stable")
+            order = np.argsort(at // block, kind="stable")
             r, at = r[order], at[order]
-            cuts = np.flatnonzero(np.append(True, np.diff(at // BLOCK) != 0))
+            cuts = np.flatnonzero(np.append(True, np.diff(at // block) != 0))
             offsets = pa.array(np.append(cuts, len(at)).astype(np.int32))
             yield pa.RecordBatch.from_pydict(
                 {
                     "g": names.take(pa.array([some[0][0]] * len(cuts))),
-                    "block": pa.array(at[cuts] // BLOCK),
+                    "block": pa.array(at[cuts] // block),
                     "rs": pa.ListArray.from_arrays(offsets, pa.array(r.astype(np.int32))),
                     "places": pa.ListArray.from_arrays(
-                        offsets, pa.array((at % BLOCK).astype(np.int32))
+                        offsets, pa.array((at % block).astype(np.int32))
                     ),
                 }
             )
@@ -150,7 +150,8 @@ def _by_block(names: pa.Array, held: dict) -> Iterator[pa.RecordBatch]:
 def _looked_up(draws: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
     """Values at the drawn places of a block, summed per replicate."""
     if not len(draws) or not len(runs):
-        return pd.DataFrame({"g": [], "r": [], "wx": []})
+        # Without columns, since Arrow makes no array of an empty column of texts.
+        return pd.DataFrame()
     taken = _values(runs)[np.concatenate(draws["places"].to_numpy())]
     r, code = np.unique(np.concatenate(draws["rs"].to_numpy()), return_inverse=True)
     return pd.DataFrame(
@@ -178,29 +179,35 @@ def bootstrap_means(
     def schema(*fields: str) -> T.StructType:
         numbers_of = T.ArrayType(T.IntegerType())
         kinds = {"wx": T.DoubleType(), "g": kind, "rs": numbers_of, "places": numbers_of}
-        return T.StructType([T.StructField(f, kinds.get(f, T.LongType())) for f in fields])
+        return T.StructType(
+            [T.StructField(f, kinds.get(f, T.LongType()), f in kinds) for f in fields]
+        )
 
-    blocks = _blocks(rows, min_n)
+    counts = value_counts(rows, ["g"], "x")
+    blocks = _blocks(counts, min_n)
     # A block costs its task work for every replicate, whatever its bytes, so the number of
     # tasks is given.
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = blocks.repartition(tasks, "g", "block")
     sums = (
-        blocks.repartition(tasks, "g", "block")
-        .groupBy("g", "block")
+        dealt.groupBy("g", "block")
         .applyInPandas(_weighted(n_boot, seed), schema("g", "g_no", "n", "r", "w", "wx"))
+        .where(F.col("g").isNotNull())
         .groupBy("g", "g_no", "n", "r")
         .agg(F.sum("w").alias("w"), F.sum("wx").alias("wx"))
     )
-    # Both uses take all columns of the sums, so that Spark reuses their one exchange.
+    # The weights are drawn once: both uses take all columns of the sums, whose numbers are not
+    # nullable and whose groups are filtered above, so that no null filter of one use comes below
+    # their exchange and Spark reuses it.
     short = sums.where("w < n").select("g", "g_no", "n", "r", "w", "wx")
-    draws = short.mapInArrow(_draws(seed), schema("g", "block", "rs", "places"))
+    draws = short.repartition(tasks, "g", "r").mapInArrow(
+        _draws(seed, BLOCK), schema("g", "block", "rs", "places")
+    )
     # A block meets about 8 BLOCK / sqrt(n) draws of a replicate, 512 at most.
     added = (
         draws.repartition(tasks, "g", "block")
         .groupBy("g", "block")
-        .cogroup(
-            blocks.where(F.col("n") > BLOCK).repartition(tasks, "g", "block").groupBy("g", "block")
-        )
+        .cogroup(dealt.groupBy("g", "block"))
         .applyInPandas(_looked_up, schema("g", "r", "wx"))
     )
     none = F.lit(None).cast("long")
@@ -214,8 +221,12 @@ def bootstrap_means(
     cuts = F.percentile("m", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
     intervals = means.groupBy("g").agg(cuts.alias("cut"))
     sizes = (
-        blocks.groupBy("g")
-        .agg(F.max("n").alias("n"), (F.sum(F.col("x") * F.col("size")) / F.max("n")).alias("mean"))
+        counts.groupBy("g")
+        .agg(
+            F.sum(COUNT).alias("n"),
+            (F.sum(F.col(VALUE) * F.col(COUNT)) / F.sum(COUNT)).alias("mean"),
+        )
+        .where(F.col("n") >= min_n)
     )
     low, high = F.col("cut")[0], F.col("cut")[1]
     return (

@@ -441,6 +441,54 @@ def test_bootstrap_is_the_same_in_one_block_and_in_many(spark, monkeypatch, n):
         assert one[2:] == pytest.approx(other[2:], abs=1e-9)
 
 
+def test_bootstrap_draws_the_weights_of_a_block_once(spark, monkeypatch):
+    from panelloom.operators import bootstrap
+
+    calls = spark.sparkContext.accumulator(0)
+    weighted = bootstrap._weighted
+
+    def counted(n_boot, seed):
+        sums = weighted(n_boot, seed)
+
+        def counting(runs: pd.DataFrame) -> pd.DataFrame:
+            calls.add(1)
+            return sums(runs)
+
+        return counting
+
+    monkeypatch.setattr(bootstrap, "_weighted", counted)
+    values = np.random.default_rng(6).normal(50, 10, 3 * bootstrap.BLOCK)
+    df = groups_frame(spark, [values, values[:100]])
+    assert bootstrap_means(df, "value", "region", n_boot=20).count() == 2
+    calls.value = 0
+    assert len(bootstrap_means(df, "value", "region", n_boot=20).collect()) == 2
+    assert calls.value == 3 + 1
+
+
+def test_numbers_are_those_of_plain_integers():
+    from panelloom.functions import resampling as rs
+
+    m = rs.MODULUS
+    draws = [0, 1, 77, m - 1, m, m + 1, 2 * m - 1, 2 * m, 10**15]
+    for seed, group, r in itertools.product((0, 42), (0, 5, 2**28 - 1), (0, 1, 1999, m - 1)):
+        want = []
+        for j in draws:
+            low, high = j % m, j // m
+            y = seed * rs.SEED_STEP + group * rs.GROUP_STEP + r * rs.REPLICATE_STEP
+            y = (y + low * rs.DRAW_STEP) % m
+            y = (y * y + rs.SHIFT + low) % m
+            y = (y * y + rs.SHIFT + r + high) % m
+            want.append((y * y + rs.SHIFT) % m)
+        assert rs.numbers(seed, group, r, draws).tolist() == want
+        limits = rs.poisson_thresholds(0.97)
+        counts = [sum(y >= limit for limit in limits) for y in want]
+        once = rs.Draws(seed, group, draws).unreduced(r)
+        assert rs.poisson_weights(once, 0.97).tolist() == counts
+    edges = [y for limit in limits for y in (limit - 1, limit, limit + 1) if y < m]
+    found = rs.poisson_weights(np.array(edges, np.uint64), 0.97).tolist()
+    assert found == [sum(y >= limit for limit in limits) for y in edges]
+
+
 @pytest.mark.parametrize("n", [65, 1024, 1025])
 def test_poisson_counts_and_missing_draws_are_multinomial(n):
     """Counts of a position over replicates have the mean and variance of n draws."""
